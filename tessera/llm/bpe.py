@@ -5,8 +5,8 @@ normaliser and pre-tokeniser never look across such places gives a text the ids
 Each distinct word is therefore encoded once, and its ids are joined back by position:
 
 * frequent words form a broadcast table of at most ``most_words`` rows, which no corpus can enlarge;
-* every other word travels as (word, document, position), is encoded once where its occurrences meet, and
-  travels back to its document. A word outside the frequent table is rare by construction, so no key is hot.
+* every other word travels once for each block of documents that has it, is encoded once where all blocks'
+  mentions of it meet, and its ids travel back to the blocks. Nothing is dealt out by a key that can be hot.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ import functools
 import hashlib
 import os
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ MOST_WORDS = 1 << 18
 MOST_WORD_BYTES = 48
 #: A word is a candidate for the table if one task's share of the corpus holds it so often.
 LEAST_SEEN = 6
+#: Bytes of text in a block of documents.
+BLOCK_BYTES = 1 << 21
 _GAP = np.uint32(0xFFFFFFFF)
 _ENDS = re.compile(rb"(?<=[A-Za-z])([,.])(?![^\x20\x09-\x0D])")
 
@@ -60,8 +64,8 @@ def encode_words(words: list[bytes], path: str, specials_are_text: bool) -> list
 def frequent_words(docs: DataFrame, most_words: int = MOST_WORDS, least_seen: int = LEAST_SEEN) -> DataFrame:
     """``word binary, n long``: at most ``most_words`` words, the most frequent by tasks' counts.
 
-    Which words are in the table changes the cost of the encoding, never its result. The threshold is a power of
-    two read off a histogram of counts, so there is no global sort.
+    Which words are in the table changes the cost of the encoding, never its result. The threshold is
+    read off a histogram of the counts' logarithms, so there is no global sort.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,13 +85,13 @@ def frequent_words(docs: DataFrame, most_words: int = MOST_WORDS, least_seen: in
 
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     counts = stored(texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    steps = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).count().collect()  # 64 rows at most
+    steps = counts.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("step")).count().collect()  # 512 rows at most
     total, least = 0, None
     for step, rows in sorted(((r["step"], r["count"]) for r in steps), reverse=True):
         if total + rows > most_words:
             break
         total, least = total + rows, step
-    return counts.where(F.lit(False) if least is None else F.col("n") >= 2**least)
+    return counts.where(F.lit(False) if least is None else F.floor(F.log2("n") * 8) >= least)
 
 
 def encoded_table(words: DataFrame, path: str, specials_are_text: bool) -> dict[bytes, bytes]:
@@ -97,94 +101,135 @@ def encoded_table(words: DataFrame, path: str, specials_are_text: bool) -> dict[
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encode_words(batch.column(0).to_pylist(), path, specials_are_text), pa.binary())], ["word", "ids"])
 
+    words = words.sort(F.desc("n"), "word")  # bounded; indices by falling frequency pack well
     rows = words.select("word").mapInArrow(encode, "word binary, ids binary").toArrow()
     return dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as four byte planes: indices by falling frequency leave the upper planes near empty."""
+    planes = np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def encode(docs: DataFrame, path: str, specials_are_text: bool = False, most_words: int = MOST_WORDS, least_seen: int = LEAST_SEEN) -> DataFrame:
     """``doc_id, ids binary`` for ``doc_id, text``: the ids of every text as little-endian unsigned 32-bit numbers.
 
     Null and empty texts have no ids. Repeated rows give as many rows. A null doc_id is left out.
     ``specials_are_text``: the strings of special tokens in a text are ordinary text.
+
+    Documents are read once and become blocks of word indices: those of frequent words point into the broadcast
+    table, those of other words into the block's own list of distinct words. The lists are dealt out by a hash of
+    the word, each word is encoded where all its mentions meet, and the ids return to their block.
     """
     spark = docs.sparkSession
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    table = spark.sparkContext.broadcast(encoded_table(frequent_words(docs, most_words, least_seen), path, specials_are_text))
-    rows = docs.select("doc_id", F.hash("text").alias("h"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-
-    def with_gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, gap, pack = table.value, _GAP.tobytes(), zstandard.ZstdCompressor(level=1).compress
+    table = encoded_table(frequent_words(docs, most_words, least_seen), path, specials_are_text)
+    hot = spark.sparkContext.broadcast((list(table), list(table.values())))
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = {w: i for i, w in enumerate(hot.value[0])}
+        known, first, task, n = index.get, len(index), TaskContext.get().partitionId(), 0
+
+        def block(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
+            nonlocal n
+            words = [words_of(t) for t in texts]
+            flat = [w for ws in words for w in ws]
+            at = [known(w) for w in flat]
+            own = {w for w, i in zip(flat, at, strict=True) if i is None}
+            dealt: list[list[bytes]] = [[] for _ in range(buckets)]
+            for w in own:
+                dealt[zlib.crc32(w) % buckets].append(w)
+            for ws in dealt:
+                ws.sort()
+            place = {w: first + i for i, w in enumerate(w for ws in dealt for w in ws)}
+            at = np.fromiter((place[w] if i is None else i for w, i in zip(flat, at, strict=True)), np.uint32, len(flat))
+            lists = [zstandard.compress(b" ".join(ws), 1) if ws else b"" for ws in dealt]
+            n += 1
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([task << 32 | n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(ws) for ws in words]], pa.list_(pa.int32())),
+                    pa.array([_packed(at)], pa.binary()), pa.array([lists], pa.list_(pa.binary())),
+                ],
+                ["block", "ids", "lengths", "words", "lists"],
+            )
+
+        ids, texts, size = [], [], 0
         for batch in batches:
-            parts = [pack(b"".join([ids.get(w, gap) for w in words_of(t)])) for t in batch.column(2).to_pylist()]
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([-1] * n, pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "h", "at", "ids"])
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = table.value
-        for batch in batches:
-            word, row, at = [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                missing = [w for w in words_of(text) if w not in ids]
-                word += missing
-                row += [i] * len(missing)
-                at += range(len(missing))
-            row = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), batch.column(0).take(row), batch.column(1).take(row), pa.array(at, pa.int32())], ["word", "doc_id", "h", "at"])
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(doc)
+                texts.append(text)
+                size += len(text)
+                if size >= BLOCK_BYTES:
+                    yield block(ids, texts)
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield block(ids, texts)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[bytes | None] = [None, b""]  # a word's occurrences follow each other, over batches too
+        made: dict[bytes, bytes] = {}
+        gap = _GAP.tobytes()
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            new = [w for i, w in enumerate(words) if w != (words[i - 1] if i else last[0])]
-            made = iter(encode_words(new, path, specials_are_text))
             out = []
-            for w in words:
-                if w != last[0]:
-                    last = [w, next(made)]
-                out.append(last[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.binary())], ["doc_id", "h", "at", "ids"])
+            for data in batch.column(2).to_pylist():
+                words = zstandard.decompress(data).split(b" ")
+                new = [w for w in words if w not in made]
+                made.update(zip(new, encode_words(new, path, specials_are_text), strict=True))
+                out.append(_packed(np.frombuffer(b"".join(made[w] + gap for w in words), np.uint32)))
+            if len(made) > 2_000_000:
+                made.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "bucket", "data"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        key, blobs, fill = None, [], []
-        done: tuple[list, list] = ([], [])
-
-        def close() -> None:
-            if blobs:
-                ids = np.frombuffer(unpack(blobs[0]), np.uint32)
-                if fill:
-                    at = np.flatnonzero(ids == _GAP)
-                    cut, pieces = 0, []
-                    for a, part in zip(at.tolist(), fill, strict=True):
-                        pieces += [ids[cut:a].tobytes(), part]
-                        cut = a + 1
-                    whole = b"".join([*pieces, ids[cut:].tobytes()])
-                else:
-                    whole = ids.tobytes()
-                done[0].extend([key[0]] * len(blobs))
-                done[1].extend([whole] * len(blobs))
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(done[0], pa.int64()), pa.array(done[1], pa.binary())], ["doc_id", "ids"])
-            done[0].clear(), done[1].clear()
-            return out
+        held: list = []  # the open block and the ids of its own words so far
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            (ids, lengths, data), replies = held
+            own: list[bytes] = []
+            for reply in replies:
+                own += [part.tobytes() for part in _split(_unpacked(reply))]
+            piece = (hot.value[1] + own).__getitem__ if own else hot.value[1].__getitem__
+            flat, cut, out = _unpacked(data).tolist(), 0, []
+            for n in lengths:
+                out.append(b"".join(map(piece, flat[cut : cut + n])))
+                cut += n
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
         for batch in batches:
-            for doc, h, at, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (doc, h) != key:
-                    close()
-                    key, blobs, fill = (doc, h), [], []
-                if at < 0:
-                    blobs.append(ids)
-                elif at == len(fill):  # a repeated row brings its words again
-                    fill.append(ids)
-            yield flush()
-        close()
-        yield flush()
-
-    found = rows.mapInArrow(rare, "word binary, doc_id long, h int, at int").repartition("word").sortWithinPartitions("word")
-    parts = rows.mapInArrow(with_gaps, "doc_id long, h int, at int, ids binary").unionByName(found.mapInArrow(once, "doc_id long, h int, at int, ids binary"))
-    return parts.repartition("doc_id").sortWithinPartitions("doc_id", "h", "at").mapInArrow(joined, "doc_id long, ids binary")
+            for _, bucket, data, ids, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket < 0:
+                    yield from close()
+                    held = [(ids, lengths, data), []]
+                else:
+                    held[1].append(data)
+        yield from close()
+
+    made = stored(
+        docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(
+            blocks, "block long, ids array<long>, lengths array<int>, words binary, lists array<binary>"
+        ),
+        "blocks",
+    )
+    asked = made.select("block", F.posexplode("lists").alias("bucket", "data")).where(F.length("data") > 0)
+    replies = asked.repartition("bucket").mapInArrow(once, "block long, bucket int, data binary")
+    none = {"ids": F.lit(None).cast("array<long>"), "lengths": F.lit(None).cast("array<int>")}
+    rows = made.select("block", F.lit(-1).alias("bucket"), F.col("words").alias("data"), "ids", "lengths").unionByName(replies.withColumns(none))
+    return rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(joined, "doc_id long, ids binary")
+
+
+def _split(numbers: np.ndarray) -> list[np.ndarray]:
+    """The parts before each gap mark."""
+    ends = np.flatnonzero(numbers == _GAP)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    return [numbers[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def pieces_of(path: str) -> list[str]:
