@@ -34,7 +34,7 @@ MOST_WORD_BYTES = 48
 #: A word is a candidate for the table if one task's share of the corpus holds it so often.
 LEAST_SEEN = 6
 #: Bytes of text in a block of documents.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 22
 _GAP = np.uint32(0xFFFFFFFF)
 _ENDS = re.compile(rb"(?<=[A-Za-z])([,.])(?![^\x20\x09-\x0D])")
 
@@ -109,7 +109,7 @@ def encoded_table(words: DataFrame, path: str, specials_are_text: bool) -> dict[
 def _packed(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers as four byte planes: indices by falling frequency leave the upper planes near empty."""
     planes = np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -150,7 +150,7 @@ def encode(docs: DataFrame, path: str, specials_are_text: bool = False, most_wor
                 ws.sort()
             place = {w: first + i for i, w in enumerate(w for ws in dealt for w in ws)}
             at = np.fromiter((place[w] if i is None else i for w, i in zip(flat, at, strict=True)), np.uint32, len(flat))
-            lists = [zstandard.compress(b" ".join(ws), 1) if ws else b"" for ws in dealt]
+            lists = [zstandard.compress(b" ".join(ws), 3) if ws else b"" for ws in dealt]
             n += 1
             return pa.RecordBatch.from_arrays(
                 [
