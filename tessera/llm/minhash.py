@@ -19,9 +19,13 @@ ENTRIES = 16
 ROWS = 2
 #: A link: 100 * intersection >= PER_CENT * union.
 PER_CENT = 75
-#: Low nibbles of the 64 minhashes that a pair compared in step 2 has to share: at similarity 0.75 fewer are shared
-#: with probability 1e-5 (binomial with 0.766 each).
-LEAST_NIBBLES = 34
+#: Second tables, for members of first tables that hold several components: BANDS of BAND_ROWS minhashes (a pair of
+#: similarity 0.75 shares none with probability (1 - 0.75**8)**92 = 5e-5), and the low nibbles of NIBBLES minhashes, of
+#: which such a pair shares fewer than LEAST_NIBBLES with probability 1e-5 (binomial with 0.766 each).
+BANDS = 92
+BAND_ROWS = 8
+NIBBLES = 512
+LEAST_NIBBLES = 350
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -104,15 +108,14 @@ def _seeds() -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """``doc_id, n, same (binary), entries, sketch (array<long>)`` of ``doc_id, text``: set size, a 128-bit digest of
-    the shingle set, the 2 * ENTRIES hashed entries of both collections, and the minhashes' low nibbles, packed.
-    Entries and sketch are empty for an empty set."""
+    the shingle set, and the 2 * ENTRIES hashed entries of both collections (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale, shift = _seeds()
         with np.errstate(over="ignore"):
             for batch in batches:
                 texts = batch.column(1).to_pylist()
-                sizes, same, entries, sketch = [], [], [], []
+                sizes, same, entries = [], [], []
                 for part in _slices(texts):
                     for s in shingle_sets(texts[part]):
                         sizes.append(len(s))
@@ -121,19 +124,16 @@ def signatures(docs: DataFrame) -> DataFrame:
                         if len(s):
                             least = np.array([((s * a + b) ^ ((s * a + b) >> np.uint64(29))).min() for a, b in zip(scale, shift, strict=True)], np.uint64)
                             pairs = least.reshape(2 * ENTRIES, ROWS)
-                            nibbles = (_mix(least) & np.uint64(15)).reshape(4, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
-                            sketch.append(np.bitwise_or.reduce(nibbles, axis=1).view(np.int64))
                             key = _mix(_mix(pairs[:, 0] + np.arange(2 * ENTRIES, dtype=np.uint64)) + pairs[:, 1])
                             entries.append(key.view(np.int64))
                         else:
                             entries.append(np.zeros(0, np.int64))
-                            sketch.append(np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(entries, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "same", "entries", "sketch"],
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(entries, pa.list_(pa.int64()))],
+                    ["doc_id", "n", "same", "entries"],
                 )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, same binary, entries array<long>, sketch array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, same binary, entries array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -170,10 +170,37 @@ def intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, common long")
 
 
+def second_signatures(sets: DataFrame) -> DataFrame:
+    """``doc, keys (array<long>), sketch (array<long>)`` of ``doc_id, shingles``: band keys and packed nibbles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(20240301)
+        n = BANDS * BAND_ROWS
+        scale, shift = rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        place = np.arange(16, dtype=np.uint64) * np.uint64(4)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                keys, sketch = [], []
+                for data in batch.column(1).to_pylist():
+                    s = np.frombuffer(data, np.uint64)
+                    least = np.array([((h := s * a + b) ^ (h >> np.uint64(29))).min() for a, b in zip(scale, shift, strict=True)], np.uint64)
+                    key = np.arange(BANDS, dtype=np.uint64)
+                    for part in least.reshape(BANDS, BAND_ROWS).T:
+                        key = _mix(key * np.uint64(31) + part)
+                    nibbles = (_mix(least[:NIBBLES]) & np.uint64(15)).reshape(-1, 16) << place
+                    keys.append(key.view(np.int64))
+                    sketch.append(np.bitwise_or.reduce(nibbles, axis=1).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc", "keys", "sketch"]
+                )
+
+    return sets.mapInArrow(run, "doc long, keys array<long>, sketch array<long>")
+
+
 def _shared_nibbles() -> Column:
     """Equal nibbles in sketches ``sa`` and ``sb``, in bit arithmetic."""
-    total = F.lit(64)
-    for i in range(4):
+    total = F.lit(NIBBLES)
+    for i in range(NIBBLES // 16):
         x = F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
@@ -181,14 +208,6 @@ def _shared_nibbles() -> Column:
     return total
 
 
-def _first_table() -> Column:
-    """Of the tables that entries ``xa`` and ``xb`` share, the first: a pair is looked at there only."""
-    same = F.zip_with("xa", "xb", lambda p, q: p == q)
-    i = F.array_position(F.slice(same, 1, ENTRIES), True).cast("int") - 1
-    j = F.array_position(F.slice(same, ENTRIES + 1, ENTRIES), True).cast("int") - 1 + ENTRIES
-    return F.xxhash64(i, F.get("xa", i), j, F.get("xa", j))
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for ``doc_id, text``: components of links on five-word shingles.
 
@@ -198,17 +217,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     1. every member is compared with the table's most central member (it meets the most others), first the one that most tables name, then the rest
        whose component still differs,
-    2. members of tables that still hold several components are compared across components, unless sizes, the
-       triangle inequality of Jaccard distance or their minhashes rule a link out.
+    2. members of tables that still hold several components meet again in more selective tables and are compared
+       across components, unless sizes, the triangle inequality of Jaccard distance or many more minhashes rule a
+       link out.
 
     Pairs within a component never need comparing, so a large group of copies costs a few comparisons for each of
     its members. Rows of a repeated doc_id count as one document, that with the smallest set digest; a null doc_id is left out.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     signed = stored(signatures(docs), "signatures")
-    signed = signed.groupBy("doc_id").agg(F.min(F.struct("n", "same", "entries", "sketch")).alias("s")).select("doc_id", "s.*")
-    classes = signed.where("n > 0").groupBy("same", "n").agg(F.min(F.struct("doc_id", "entries", "sketch")).alias("r"))
-    classes = stored(classes.select("same", "n", F.col("r.doc_id").alias("rep"), F.col("r.entries").alias("entries"), F.col("r.sketch").alias("sketch")), "classes")
+    signed = signed.groupBy("doc_id").agg(F.min(F.struct("n", "same", "entries")).alias("s")).select("doc_id", "s.*")
+    classes = signed.where("n > 0").groupBy("same", "n").agg(F.min(F.struct("doc_id", "entries")).alias("r"))
+    classes = stored(classes.select("same", "n", F.col("r.doc_id").alias("rep"), F.col("r.entries").alias("entries")), "classes")
 
     # entries that no other class has can't be part of a shared table
     each = classes.select(F.col("rep").alias("doc"), F.posexplode("entries").alias("e", "key"))
@@ -262,16 +282,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # tables that still hold several components
     there = tables.join(label, "doc")
     mixed = there.groupBy("table").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("table")
-    known = edges.select(F.col("a").alias("head"), F.col("b").alias("doc"), "far")
-    there = there.join(mixed, "table", "left_semi").join(known, ["head", "doc"], "left").join(sizes, "doc")
-    there = there.withColumn("far", F.when(F.col("doc") == F.col("head"), 0.0).otherwise(F.col("far")))
-    there = stored(there.join(classes.select(F.col("rep").alias("doc"), "entries", "sketch"), "doc"), "mixed")
-    x = there.select("table", F.col("doc").alias("a"), F.col("c").alias("ca"), F.col("far").alias("fa"), F.col("n").alias("na"), F.col("entries").alias("xa"), F.col("sketch").alias("sa"))
-    y = there.select("table", F.col("doc").alias("b"), F.col("c").alias("cb"), F.col("far").alias("fb"), F.col("n").alias("nb"), F.col("entries").alias("xb"), F.col("sketch").alias("sb"))
+    rest = stored(there.join(mixed, "table", "left_semi").select("doc", "c").distinct(), "rest")
+    pivot = best.select(F.col("a").alias("pivot"), F.col("b").alias("doc")).join(edges.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "far"), ["pivot", "doc"])
+    keyed = second_signatures(sets.join(rest, sets["doc_id"] == rest["doc"], "left_semi"))
+    keyed = keyed.join(rest, "doc").join(sizes, "doc").join(pivot, "doc", "left").select("*", F.explode("keys").alias("key")).drop("keys")
+    keyed = stored(keyed, "second")
+    several = keyed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    keyed = keyed.join(several, "key", "left_semi")
+    x = keyed.select("key", F.col("doc").alias("a"), F.col("c").alias("ca"), F.col("pivot").alias("pa"), F.col("far").alias("fa"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    y = keyed.select("key", F.col("doc").alias("b"), F.col("c").alias("cb"), F.col("pivot").alias("pb"), F.col("far").alias("fb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     bound = 1 - PER_CENT / 100 + 1e-9
-    may = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.coalesce(F.abs(F.col("fa") - F.col("fb")), F.lit(0.0)) <= bound)
+    may = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~F.coalesce((F.col("pa") == F.col("pb")) & (F.abs(F.col("fa") - F.col("fb")) > bound), F.lit(False))
     may = may & (100 * F.least("na", "nb") >= PER_CENT * F.greatest("na", "nb"))
-    across = x.join(y, "table").where(may & (_shared_nibbles() >= LEAST_NIBBLES) & (F.col("table") == _first_table())).select("a", "b", "na", "nb").distinct().join(edges, ["a", "b"], "left_anti")
+    across = x.join(y, "key").where(may & (_shared_nibbles() >= LEAST_NIBBLES)).select("a", "b", "na", "nb").distinct().join(edges, ["a", "b"], "left_anti")
     edges = edges.unionByName(measured(stored(across, "across"), "links3"))
     label = labelled(edges)
 
