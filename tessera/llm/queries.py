@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, minhash, mixing, quality
+from tessera.llm import bpe, lines, minhash, mixing, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("word_bpe_49k.json")
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -39,8 +44,17 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the numbers of lines dropped and a digest of what is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    dropped = lines.dropped_lines(docs)
+    left = lines.without_lines(docs, dropped).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    counts = dropped.select("doc_id", F.size("exact").alias("n_exact"), F.size("near").alias("n_near"))
+    return left.join(counts, "doc_id", "left").na.fill(0, ["n_exact", "n_near"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op5_bpe": op5_bpe, "op6_near_duplicates": op6_near_duplicates, "op9_mix": op9_mix}
+    return {"op2_quality": op2_quality, "op4_pii": op4_pii, "op5_bpe": op5_bpe, "op6_near_duplicates": op6_near_duplicates, "op9_mix": op9_mix, "op10_lines": op10_lines}
 
 
 def oracle_sql() -> dict[str, str]:
