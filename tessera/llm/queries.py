@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, lines, minhash, mixing, pii, quality
+from tessera.llm import bpe, lines, minhash, mixing, pii, quality, toxicity, warc
+from tessera.llm.common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,16 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    manifest = warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, manifest).drop("url")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -54,7 +65,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op4_pii": op4_pii, "op5_bpe": op5_bpe, "op6_near_duplicates": op6_near_duplicates, "op9_mix": op9_mix, "op10_lines": op10_lines}
+    return {"op2_quality": op2_quality, "op4_pii": op4_pii, "op5_bpe": op5_bpe, "op6_near_duplicates": op6_near_duplicates, "op7_warc": op7_warc, "op8_toxicity": op8_toxicity, "op9_mix": op9_mix, "op10_lines": op10_lines}
 
 
 def oracle_sql() -> dict[str, str]:
