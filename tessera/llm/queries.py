@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, lines, minhash, mixing, pii, quality, toxicity, warc
+from tessera.llm import bpe, lines, minhash, mixing, neighbours, pii, quality, tokens, toxicity, warc
 from tessera.llm.common import new_path
 
 
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every vector whose id is divisible by 100; candidates: all others."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors.where(F.col("vec_id") % 100 == 0), vectors)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.verdicts(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -27,6 +33,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "tokens")
+    return tokens.counts(table(spark, sf_dir, "documents"), spark, folder, vocabulary("word_bpe_49k.json"), 49407).drop("ordinal")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -65,8 +76,17 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op4_pii": op4_pii, "op5_bpe": op5_bpe, "op6_near_duplicates": op6_near_duplicates, "op7_warc": op7_warc, "op8_toxicity": op8_toxicity, "op9_mix": op9_mix, "op10_lines": op10_lines}
+    return {"op1_nearest": op1_nearest, "op2_quality": op2_quality, "op3_token_counts": op3_token_counts, "op4_pii": op4_pii, "op5_bpe": op5_bpe, "op6_near_duplicates": op6_near_duplicates, "op7_warc": op7_warc, "op8_toxicity": op8_toxicity, "op9_mix": op9_mix, "op10_lines": op10_lines}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_nearest": """
+            WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+                       WHERE embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR isnan(e) OR isinf(e))) = 0
+                         AND len(list_filter(embedding, e -> e <> 0)) > 0),
+            d AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.x, c.x) AS score
+                  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0),
+            r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
+            SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    }

@@ -15,9 +15,9 @@ from tessera.llm.minhash import _mix, _slices, word_hashes
 #: Weights there are, which bounds the broadcast; labelled rows that are fitted at most; models fitted side by side.
 BITS = 20
 MOST_LABELLED = 16_384
-MODELS = 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
-EPOCHS = 2
+MODELS = 1
+ALPHA, BETA, L1, L2 = 0.2, 1.0, 12.0, 1.0
+EPOCHS = 4
 
 
 def feature_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -30,7 +30,7 @@ def feature_sets(texts: list[bytes]) -> list[np.ndarray]:
     kinds = [(k >> shift).astype(np.int64) for k in kinds]
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        out.append(np.unique(np.concatenate([k[a : max(a, b - gap)] for gap, k in enumerate(kinds)])))
+        out.append(np.unique(np.concatenate([k[a : max(a, b - gap)] for gap, k in enumerate(kinds)])).astype(np.int32))
     return out
 
 
