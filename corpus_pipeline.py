@@ -1,4 +1,26 @@
-STAGES = []
+"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, mixing, tokens."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import stages
+from tessera.llm.common import stored
+
+STAGES = [
+    ("quality", stages.quality_rules),
+    ("line_dedup", stages.line_dedup),
+    ("near_duplicates", stages.near_duplicates),
+    ("mixing", stages.mixing),
+    ("tokens", stages.tokens),
+]
+#: Robust covariances, min-hash links and tokenizers have no SQL form: the tests hold stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each one's result written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
