@@ -18,7 +18,7 @@ from tessera.llm.common import stored
 
 #: Compressed bytes after which a file is rolled, bytes of payload in a shard, and cells of the id range that are dealt to shards.
 ROLL_BYTES = 32 << 20
-SHARD_BYTES = 128 << 20
+SHARD_BYTES = 32 << 20
 CELLS = 4096
 DATE = "2024-01-01T00:00:00Z"
 
@@ -139,11 +139,14 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for content in batch.column(0).to_pylist():
                 rows = []
-                buffer = memoryview(content)
-                while len(buffer):
-                    member = zlib.decompressobj(31)
-                    record = member.decompress(buffer) + member.flush()
-                    buffer = buffer[len(buffer) - len(member.unused_data) :]
+                buffer, at = memoryview(content), 0
+                while at < len(buffer):
+                    member, parts = zlib.decompressobj(31), []
+                    while not member.eof and at < len(buffer):  # in steps: what follows a member is copied each time
+                        parts.append(member.decompress(buffer[at : at + 16384]))
+                        at += 16384
+                    at = min(at, len(buffer)) - len(member.unused_data)
+                    record = b"".join(parts)
                     head, _, block = record.partition(b"\r\n\r\n")
                     h = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
                     digest, size = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Bytes"])
