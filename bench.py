@@ -6,13 +6,14 @@ import time
 
 from pyspark.sql import SparkSession
 
+from tessera.operators import panel_queries
 from tessera.operators.queries import queries
 
 sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
 spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 spark.sparkContext.setLogLevel("ERROR")
 took = {}
-for name, query in queries().items():
+for name, query in (queries() | panel_queries.queries()).items():
     query(spark, sf_dir).write.format("noop").mode("overwrite").save()
     began = time.time()
     query(spark, sf_dir).write.format("noop").mode("overwrite").save()
