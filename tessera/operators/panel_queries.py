@@ -24,6 +24,10 @@ def technical(spark, sf_dir):
     return rounded(tech.technical(_bars(spark, sf_dir)))
 
 
+def recursive(spark, sf_dir):
+    return rounded(tech.recursive(_bars(spark, sf_dir)))
+
+
 def triple_barrier(spark, sf_dir):
     return rounded(tech.triple_barrier(_bars(spark, sf_dir), HORIZON))
 
@@ -129,7 +133,7 @@ def signal_votes(spark, sf_dir):
 
 
 def queries():
-    made = [technical, triple_barrier, latest_bars, upsert, restatements, readback, benchmark, neutral, rank_ic, auc, tail_risk, drift, fundamentals_asof, macro_asof, status_changes, signal_votes]
+    made = [technical, recursive, triple_barrier, latest_bars, upsert, restatements, readback, benchmark, neutral, rank_ic, auc, tail_risk, drift, fundamentals_asof, macro_asof, status_changes, signal_votes]
     return {q.__name__: q for q in made}
 
 
@@ -180,9 +184,25 @@ def _technical_sql() -> str:
     return f"{first} SELECT symbol, ts, {', '.join(gates)} FROM p WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
 
 
+def _recursive_sql() -> str:
+    def smooth(xs: str, k: int, a: str) -> str:
+        return f"CASE WHEN len({xs}) >= {k} THEN list_reduce({xs}[{k + 1}:], lambda e, x: e * (1 - {a}) + x * {a}, list_avg({xs}[1:{k}])) END"
+
+    many = "OVER (w ROWS 298 PRECEDING)"
+    return f"""{ADJUSTED}, d AS (SELECT *, lag(c) OVER w AS p FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+      g AS (SELECT symbol, ts, c, n, avg(c) OVER (w ROWS 19 PRECEDING) AS mid, list(c) OVER (w ROWS 299 PRECEDING) AS cs, list(greatest(c - p, 0)) FILTER (p IS NOT NULL) {many} AS ups,
+        list(greatest(p - c, 0)) FILTER (p IS NOT NULL) {many} AS downs, list(greatest(h - l, abs(h - p), abs(l - p))) FILTER (p IS NOT NULL) {many} AS spans FROM d WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+      k AS (SELECT symbol, ts, c, n, mid, CASE WHEN n >= 26 THEN {smooth('cs', 12, '(2::DOUBLE / 13)')} END AS e12, {smooth('cs', 26, '(2::DOUBLE / 27)')} AS e26,
+        {smooth('ups', 14, '(1::DOUBLE / 14)')} AS up, {smooth('downs', 14, '(1::DOUBLE / 14)')} AS down, {smooth('spans', 14, '(1::DOUBLE / 14)')} AS atr FROM g)
+      SELECT symbol, ts, round(e12, 6) AS ema_12, round(e26, 6) AS ema_26, round(e12 - e26, 6) AS macd,
+        round(CASE WHEN down > 0 THEN 100 - 100 / (1 + up / down) WHEN up > 0 THEN 100 WHEN up = 0 THEN 50 END, 6) AS rsi_14, round(atr, 6) AS atr_14, round(atr / c, 6) AS atr_pct_14,
+        round(CASE WHEN n >= 20 AND atr > 0 THEN (c - mid) / (2 * atr) END, 6) AS keltner_pos_20 FROM k"""
+
+
 def oracle_sql():
     return {
         "technical": _technical_sql(),
+        "recursive": _recursive_sql(),
         "triple_barrier": ADJUSTED + f""", g AS (SELECT *, CASE WHEN n > 20 THEN stddev_samp(lr) OVER (w ROWS 19 PRECEDING) END AS sigma,
               list({{'n': n, 'h': h, 'l': l, 'c': c}}) OVER (w ROWS BETWEEN 1 FOLLOWING AND {HORIZON} FOLLOWING) AS nx FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
             k AS (SELECT * REPLACE (CASE WHEN sigma > 0 THEN sigma END AS sigma), c * (1 + sigma * sqrt({HORIZON})) AS hi, c * (1 - sigma * sqrt({HORIZON})) AS lo FROM g),

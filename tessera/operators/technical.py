@@ -94,3 +94,39 @@ def triple_barrier(b: DataFrame, horizon: int = 63, up: float = 1.0, down: float
     label = F.when(F.col("barrier") == "lower", 0).when(F.col("barrier") == "upper", 1).when(F.col("barrier") == "vertical", (end["c"] > F.col("c")).cast("int"))
     touch = F.coalesce("hit.n", F.when(F.col("barrier") == "vertical", end["n"])) - F.col("n")
     return rows.withColumn("barrier", barrier).select("symbol", "ts", "sigma", "barrier", F.when(F.col("barrier").isNotNull(), touch).alias("touch"), label.alias("label"))
+
+
+def smoothed(values: Column, period: int, alpha: float) -> Column:
+    """Exponential smoothing of an array, started at the mean of its first ``period`` entries; null if it is shorter."""
+    seed = F.aggregate(F.slice(values, 1, period), F.lit(0.0), lambda s, x: s + x) / period
+    rest = F.slice(values, period + 1, F.greatest(F.size(values) - period, F.lit(1)))
+    return F.when(F.size(values) >= period, F.aggregate(rest, seed, lambda e, x: e * (1 - alpha) + x * alpha))
+
+
+def recursive(b: DataFrame, lookback: int = 300) -> DataFrame:
+    """Moving averages of 12 and 26, their difference, relative strength, true range and the Keltner position.
+
+    Each bar's recursions start anew inside its last ``lookback`` bars, so a result does not depend on how much
+    history is stored. A bar carries at most four arrays of that length.
+    """
+    w = Window.partitionBy("symbol").orderBy("ts")
+    rows = adjusted(b).withColumn("n", F.row_number().over(w)).withColumn("p", F.lag("c").over(w))
+    known = lambda x: F.when(F.col("p").isNotNull(), x)
+    span = F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - F.col("p")), F.abs(F.col("l") - F.col("p")))
+    steps = trailing(lookback - 1)
+    rows = rows.select(
+        "symbol", "ts", "c", "n", F.avg("c").over(trailing(20)).alias("mid"), F.collect_list("c").over(trailing(lookback)).alias("cs"),
+        F.collect_list(known(F.greatest(F.col("c") - F.col("p"), F.lit(0.0)))).over(steps).alias("ups"),
+        F.collect_list(known(F.greatest(F.col("p") - F.col("c"), F.lit(0.0)))).over(steps).alias("downs"),
+        F.collect_list(known(span)).over(steps).alias("spans"),
+    )
+    rows = rows.select(
+        "symbol", "ts", "c", "n", "mid", F.when(F.col("n") >= 26, smoothed(F.col("cs"), 12, 2 / 13)).alias("ema_12"), smoothed(F.col("cs"), 26, 2 / 27).alias("ema_26"),
+        smoothed(F.col("ups"), 14, 1 / 14).alias("up"), smoothed(F.col("downs"), 14, 1 / 14).alias("down"), smoothed(F.col("spans"), 14, 1 / 14).alias("atr_14"),
+    )
+    rsi = F.when(F.col("down") > 0, 100 - 100 / (1 + F.col("up") / F.col("down"))).when(F.col("up") > 0, 100.0).when(F.col("up") == 0, 50.0)
+    return rows.select(
+        "symbol", "ts", "ema_12", "ema_26", (F.col("ema_12") - F.col("ema_26")).alias("macd"), rsi.alias("rsi_14"), "atr_14",
+        _over("c", F.col("atr_14") / F.col("c")).alias("atr_pct_14"),
+        F.when((F.col("n") >= 20) & (F.col("atr_14") > 0), (F.col("c") - F.col("mid")) / (2 * F.col("atr_14"))).alias("keltner_pos_20"),
+    )
