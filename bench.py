@@ -13,8 +13,9 @@ sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.enviro
 spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 spark.sparkContext.setLogLevel("ERROR")
 took = {}
-for name, query in (queries() | panel_queries.queries()).items():
-    query(spark, sf_dir).write.format("noop").mode("overwrite").save()
+headline = queries() | panel_queries.queries()
+headline["bars"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # the JVM warms up once
+for name, query in headline.items():
     began = time.time()
     query(spark, sf_dir).write.format("noop").mode("overwrite").save()
     took[name] = round(time.time() - began, 3)
