@@ -20,12 +20,12 @@ ROWS = 2
 #: A link: 100 * intersection >= PER_CENT * union.
 PER_CENT = 75
 #: Second tables, for members of first tables that hold several components: BANDS of BAND_ROWS minhashes (a pair of
-#: similarity 0.75 shares none with probability (1 - 0.75**8)**92 = 5e-5), and the low nibbles of NIBBLES minhashes, of
-#: which such a pair shares fewer than LEAST_NIBBLES with probability 1e-5 (binomial with 0.766 each).
+#: similarity 0.75 shares none with probability (1 - 0.75**8)**92 = 5e-5), and two bits of each of SKETCHED minhashes,
+#: of which such a pair shares fewer than LEAST_SKETCHED with probability 1e-5 (binomial with 0.8125 each).
 BANDS = 92
 BAND_ROWS = 8
-NIBBLES = 512
-LEAST_NIBBLES = 350
+SKETCHED = 704
+LEAST_SKETCHED = 526
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -106,6 +106,17 @@ def _seeds() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
+def minhashes(s: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """For each scale and shift the least ``s * scale + shift`` of a set of mixed hashes; working arrays take 256 KB."""
+    step = max(1, (1 << 15) // len(scale))
+    least = np.full(len(scale), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(s), step):
+        hashed = np.multiply.outer(s[i : i + step], scale)
+        hashed += shift
+        np.minimum(least, hashed.min(axis=0), out=least)
+    return least
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """``doc_id, n, same (binary), entries, sketch (array<long>)`` of ``doc_id, text``: set size, a 128-bit digest of
     the shingle set, and the 2 * ENTRIES hashed entries of both collections (none for an empty set)."""
@@ -122,8 +133,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                         digest = [np.sum(_mix(s + c), dtype=np.uint64) for c in (np.uint64(1), np.uint64(2))]
                         same.append(np.array(digest, np.uint64).tobytes())
                         if len(s):
-                            least = np.array([((s * a + b) ^ ((s * a + b) >> np.uint64(29))).min() for a, b in zip(scale, shift, strict=True)], np.uint64)
-                            pairs = least.reshape(2 * ENTRIES, ROWS)
+                            pairs = minhashes(s, scale, shift).reshape(2 * ENTRIES, ROWS)
                             key = _mix(_mix(pairs[:, 0] + np.arange(2 * ENTRIES, dtype=np.uint64)) + pairs[:, 1])
                             entries.append(key.view(np.int64))
                         else:
@@ -171,25 +181,24 @@ def intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def second_signatures(sets: DataFrame) -> DataFrame:
-    """``doc, keys (array<long>), sketch (array<long>)`` of ``doc_id, shingles``: band keys and packed nibbles."""
+    """``doc, keys (array<long>), sketch (array<long>)`` of ``doc_id, shingles``: band keys, and a plane of each of the sketched minhashes' two bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(20240301)
         n = BANDS * BAND_ROWS
         scale, shift = rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        place = np.arange(16, dtype=np.uint64) * np.uint64(4)
         with np.errstate(over="ignore"):
             for batch in batches:
                 keys, sketch = [], []
                 for data in batch.column(1).to_pylist():
-                    s = np.frombuffer(data, np.uint64)
-                    least = np.array([((h := s * a + b) ^ (h >> np.uint64(29))).min() for a, b in zip(scale, shift, strict=True)], np.uint64)
+                    least = minhashes(np.frombuffer(data, np.uint64), scale, shift)
                     key = np.arange(BANDS, dtype=np.uint64)
                     for part in least.reshape(BANDS, BAND_ROWS).T:
                         key = _mix(key * np.uint64(31) + part)
-                    nibbles = (_mix(least[:NIBBLES]) & np.uint64(15)).reshape(-1, 16) << place
+                    mixed = _mix(least[:SKETCHED])
+                    planes = [np.packbits(((mixed >> np.uint64(k)) & np.uint64(1)).astype(bool)).view(np.int64) for k in (0, 1)]
                     keys.append(key.view(np.int64))
-                    sketch.append(np.bitwise_or.reduce(nibbles, axis=1).view(np.int64))
+                    sketch.append(np.concatenate(planes))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc", "keys", "sketch"]
                 )
@@ -197,14 +206,13 @@ def second_signatures(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "doc long, keys array<long>, sketch array<long>")
 
 
-def _shared_nibbles() -> Column:
-    """Equal nibbles in sketches ``sa`` and ``sb``, in bit arithmetic."""
-    total = F.lit(NIBBLES)
-    for i in range(NIBBLES // 16):
-        x = F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total = total - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+def _shared() -> Column:
+    """Sketched minhashes whose two bits are equal in ``sa`` and ``sb``. Every word is named once: the code stays small enough to be compiled."""
+    words = SKETCHED // 64
+    differ = lambda i: F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))
+    total = F.lit(SKETCHED)
+    for i in range(words):
+        total = total - F.bit_count(differ(i).bitwiseOR(differ(words + i)))
     return total
 
 
@@ -294,7 +302,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bound = 1 - PER_CENT / 100 + 1e-9
     may = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~F.coalesce((F.col("pa") == F.col("pb")) & (F.abs(F.col("fa") - F.col("fb")) > bound), F.lit(False))
     may = may & (100 * F.least("na", "nb") >= PER_CENT * F.greatest("na", "nb"))
-    across = x.join(y, "key").where(may & (_shared_nibbles() >= LEAST_NIBBLES)).select("a", "b", "na", "nb").distinct().join(edges, ["a", "b"], "left_anti")
+    across = x.join(y, "key").where(may & (_shared() >= LEAST_SKETCHED)).select("a", "b", "na", "nb").distinct().join(edges, ["a", "b"], "left_anti")
     edges = edges.unionByName(measured(stored(across, "across"), "links3"))
     label = labelled(edges)
 
