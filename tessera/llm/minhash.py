@@ -292,17 +292,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = there.groupBy("table").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("table")
     rest = stored(there.join(mixed, "table", "left_semi").select("doc", "c").distinct(), "rest")
     pivot = best.select(F.col("a").alias("pivot"), F.col("b").alias("doc")).join(edges.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "far"), ["pivot", "doc"])
-    keyed = second_signatures(sets.join(rest, sets["doc_id"] == rest["doc"], "left_semi"))
-    keyed = keyed.join(rest, "doc").join(sizes, "doc").join(pivot, "doc", "left").select("*", F.explode("keys").alias("key")).drop("keys")
-    keyed = stored(keyed, "second")
-    several = keyed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    keyed = keyed.join(several, "key", "left_semi")
-    x = keyed.select("key", F.col("doc").alias("a"), F.col("c").alias("ca"), F.col("pivot").alias("pa"), F.col("far").alias("fa"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    y = keyed.select("key", F.col("doc").alias("b"), F.col("c").alias("cb"), F.col("pivot").alias("pb"), F.col("far").alias("fb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    again = second_signatures(sets.join(rest, sets["doc_id"] == rest["doc"], "left_semi"))
+    again = stored(again.join(rest, "doc").join(sizes, "doc").join(pivot, "doc", "left"), "second")
+    keys = again.select("doc", "c", F.explode("keys").alias("key"))
+    several = keys.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    met = keys.join(several, "key", "left_semi").groupBy("doc").agg(F.collect_list("key").alias("met"))  # at most BANDS
+    keyed = met.join(again.drop("keys"), "doc").select("*", F.explode("met").alias("key"))
+    x = keyed.select("key", F.col("doc").alias("a"), F.col("c").alias("ca"), F.col("pivot").alias("pa"), F.col("far").alias("fa"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("met").alias("ka"))
+    y = keyed.select("key", F.col("doc").alias("b"), F.col("c").alias("cb"), F.col("pivot").alias("pb"), F.col("far").alias("fb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("met").alias("kb"))
     bound = 1 - PER_CENT / 100 + 1e-9
     may = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~F.coalesce((F.col("pa") == F.col("pb")) & (F.abs(F.col("fa") - F.col("fb")) > bound), F.lit(False))
     may = may & (100 * F.least("na", "nb") >= PER_CENT * F.greatest("na", "nb"))
-    across = x.join(y, "key").where(may & (_shared() >= LEAST_SKETCHED)).select("a", "b", "na", "nb").distinct().join(edges, ["a", "b"], "left_anti")
+    may = may & (_shared() >= LEAST_SKETCHED) & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key"))  # a pair comes from one of its keys
+    across = x.join(y, "key").where(may).select("a", "b", "na", "nb").join(edges, ["a", "b"], "left_anti")
     edges = edges.unionByName(measured(stored(across, "across"), "links3"))
     label = labelled(edges)
 
