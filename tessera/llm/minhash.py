@@ -88,8 +88,8 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _slices(texts: list[bytes], most: int = 1 << 22) -> Iterator[slice]:
-    """Runs of texts of a few MB, so that working arrays stay small."""
+def _slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[slice]:
+    """Runs of texts of about 1 MB, so that working arrays stay small; a longer text is a run of its own."""
     begin = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:
@@ -181,12 +181,13 @@ def intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def second_signatures(sets: DataFrame) -> DataFrame:
-    """``doc, keys (array<long>), sketch (array<long>)`` of ``doc_id, shingles``: band keys, and a plane of each of the sketched minhashes' two bits."""
+    """``doc, keys (array<long>), sketch (array<long>)`` of ``doc_id, shingles``: band keys, and the sketched minhashes' two bits side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(20240301)
         n = BANDS * BAND_ROWS
         scale, shift = rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        place = np.arange(32, dtype=np.uint64) * np.uint64(2)
         with np.errstate(over="ignore"):
             for batch in batches:
                 keys, sketch = [], []
@@ -196,9 +197,9 @@ def second_signatures(sets: DataFrame) -> DataFrame:
                     for part in least.reshape(BANDS, BAND_ROWS).T:
                         key = _mix(key * np.uint64(31) + part)
                     mixed = _mix(least[:SKETCHED])
-                    planes = [np.packbits(((mixed >> np.uint64(k)) & np.uint64(1)).astype(bool)).view(np.int64) for k in (0, 1)]
+                    bits = (mixed & np.uint64(3)).reshape(-1, 32) << place
                     keys.append(key.view(np.int64))
-                    sketch.append(np.concatenate(planes))
+                    sketch.append(np.bitwise_or.reduce(bits, axis=1).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc", "keys", "sketch"]
                 )
@@ -207,13 +208,13 @@ def second_signatures(sets: DataFrame) -> DataFrame:
 
 
 def _shared() -> Column:
-    """Sketched minhashes whose two bits are equal in ``sa`` and ``sb``. Every word is named once: the code stays small enough to be compiled."""
-    words = SKETCHED // 64
-    differ = lambda i: F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))
-    total = F.lit(SKETCHED)
-    for i in range(words):
-        total = total - F.bit_count(differ(i).bitwiseOR(differ(words + i)))
-    return total
+    """Sketched minhashes whose two bits are equal in ``sa`` and ``sb``. A loop over words: unrolled, its code is too large for the compiler."""
+
+    def differ(p: Column, q: Column) -> Column:
+        x = p.bitwiseXOR(q)
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+    return F.lit(SKETCHED) - F.aggregate(F.zip_with("sa", "sb", differ), F.lit(0), lambda n, d: n + d)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
