@@ -48,6 +48,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    """``__many``: each doc_id that several rows of ``docs`` have."""
+    many = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return stored(many.select(F.col("doc_id").alias("__many")), "repeats")
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Add ``name``: 0, 1, ... in the order of the columns, without bringing all rows to one task.
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, lines, minhash, quality
 from tessera.llm import mixing as mix_of
+from tessera.llm.common import repeated_ids
 from tessera.llm.queries import vocabulary
 
 
@@ -15,6 +16,15 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select(F.col("doc_id").alias("__id")), F.col("doc_id") == F.col("__id"), "left_semi")
 
 
+def one_row(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id: that with the longest text, of these the first by the columns in their order."""
+    many = repeated_ids(docs)
+    same = F.col("doc_id") == F.col("__many")
+    order = Window.partitionBy("doc_id").orderBy(F.desc_nulls_last(F.length("text")), *[F.col(f"`{c}`") for c in docs.columns])
+    first = docs.join(many, same, "left_semi").withColumn("__at", F.row_number().over(order)).where("__at = 1").drop("__at")
+    return docs.join(many, same, "left_anti").unionByName(first)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
     return _only(docs, quality.verdicts(docs).where("kept"))
@@ -26,7 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates."""
+    """The document with the smallest id of each component of near duplicates; one row of a repeated doc_id."""
+    docs = one_row(docs)
     return _only(docs, minhash.near_duplicates(docs).where("kept"))
 
 
