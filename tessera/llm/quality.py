@@ -15,6 +15,8 @@ SUBSET = 0.75
 STEPS = 4
 #: Rows a group needs for an estimate of its own; smaller groups are estimated together.
 MIN_GROUP = 100
+#: Fixed value: the minimum covariance determinant needs more rows than twice the features.
+LEAST_ROWS = 10
 #: Squared robust distance beyond which a document goes: far in the tail, as clean texts aren't normal.
 CUTOFF = 60.0
 MEDIAN_CHI2_5 = 4.351  # fixed value: median of chi-squared with 5 degrees of freedom
@@ -122,13 +124,19 @@ def outliers(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     Minimum covariance determinant by concentration: from medians and absolute deviations, then STEPS times the
     mean and covariance of the SUBSET of nearest rows. Only rows that pass the base rules are estimated from, and
     only they get a distance. Groups under MIN_GROUP such rows are taken together; if these are too few as well,
-    their distance is null. Groups' parameters stay in a table; rows meet them by a join, rows are never gathered.
+    they are judged by the estimate over all rows. The determinant is not defined up to LEAST_ROWS rows in all: the
+    distance is null. Groups' parameters stay in a table; rows meet them by a join, rows are never gathered.
     """
     rows = stats.where(~F.col("base_failed")).select("doc_id", F.to_json(F.struct("lang", "source")).alias("group"), *features())
-    counts = rows.groupBy("group").agg(F.count("*").alias("n")).withColumn("pooled", F.when(F.col("n") >= MIN_GROUP, F.col("group")).otherwise(""))
-    sizes = counts.groupBy("pooled").agg(F.sum("n").alias("m"))
-    counts = counts.join(sizes, "pooled").where(F.col("m") >= MIN_GROUP).select("group", "pooled")
-    rows = stored(rows.join(counts, "group").drop("group").withColumnRenamed("pooled", "group"), "features")
+    counts = rows.groupBy("group").agg(F.count("*").alias("n"))
+    rare = F.col("n") < MIN_GROUP
+    sizes = counts.agg(F.sum(F.when(rare, F.col("n"))).alias("m"), F.sum("n").alias("total"))
+    into = lambda group, judged: F.struct(group.alias("group"), F.lit(judged).alias("judged"))
+    own, pool, lent = into(F.col("group"), True), into(F.lit(""), True), into(F.lit(""), False)
+    few = F.col("m") < MIN_GROUP  # null without rare groups
+    to = F.when(rare, F.array(pool)).when(few, F.array(own, lent)).otherwise(F.array(own))
+    counts = counts.crossJoin(F.broadcast(sizes)).where(F.col("total") > LEAST_ROWS).select(F.col("group").alias("of"), F.explode(to).alias("to"))
+    rows = stored(rows.withColumnRenamed("group", "of").join(counts, "of").drop("of").select("*", "to.*").drop("to"), "features")
 
     exact = 10_000
     middle = rows.groupBy("group").agg(*[F.percentile_approx(f, 0.5, exact).alias(f"m{i}") for i, f in enumerate(FEATURES)])
@@ -144,9 +152,9 @@ def outliers(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
         at = rows.join(found, "group").select("group", *FEATURES, _distance().alias("d"))
         near = at.groupBy("group").agg(F.percentile_approx("d", SUBSET, exact).alias("cut"))
         found = stored(_moments(at.join(near, "group").where(F.col("d") <= F.col("cut"))), "mcd")
-    at = rows.join(found, "group").select("doc_id", "group", _distance().alias("d"))
+    at = rows.join(found, "group").select("doc_id", "group", "judged", _distance().alias("d"))
     scale = at.groupBy("group").agg((F.percentile_approx("d", 0.5, exact) / MEDIAN_CHI2_5).alias("scale"))
-    return at.join(scale, "group").select("doc_id", (F.col("d") / F.greatest(F.col("scale"), F.lit(1.0))).alias("distance"))
+    return at.where("judged").join(scale, "group").select("doc_id", (F.col("d") / F.greatest(F.col("scale"), F.lit(1.0))).alias("distance"))
 
 
 def verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
