@@ -11,12 +11,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
 
-#: Compressed bytes after which a file is rolled, bytes of payload in a shard, and cells of the id range that are dealt to shards.
+#: Compressed bytes after which a file is rolled, bytes of payload in a shard, and cells that the id range is cut into at first.
 ROLL_BYTES = 32 << 20
 SHARD_BYTES = 32 << 20
 CELLS = 4096
@@ -48,23 +48,45 @@ def _record(page: int, url: str | None, html: bytes, refers_to: int | None) -> b
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def shards(pages: DataFrame) -> tuple[DataFrame, int]:
-    """``cell, shard`` and the number of shards: runs of equal cells of the id range with about SHARD_BYTES of payload."""
-    lo, hi = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    spark = pages.sparkSession
-    if lo is None:
-        return spark.createDataFrame([], "cell long, shard long"), 1
-    rows = pages.select(cell_of(lo, hi).alias("cell"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).groupBy("cell").agg(F.sum("n").alias("n"))
-    total, out = 0, []
-    for row in sorted(rows.collect()):  # CELLS rows at most
-        out.append((row["cell"], total // SHARD_BYTES))
-        total += row["n"]
-    return spark.createDataFrame(out, "cell long, shard long").withColumns({"lo": F.lit(lo), "hi": F.lit(hi)}), out[-1][1] + 1
+def place_of(starts: list[int]) -> Column:
+    """How many of the ascending ``starts`` after the first are not above page_id, which is not below the first."""
+    known = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<long>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(starts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(known, at + step) <= F.col("page_id"), at + step).otherwise(at))
 
 
-def cell_of(lo: int, hi: int):
-    width = max(1, -(-(hi - lo + 1) // CELLS))
-    return F.floor((F.col("page_id") - lo) / width).cast("long")
+def shards(pages: DataFrame) -> list[int]:
+    """The first id of each shard: runs of cells of the id range with about SHARD_BYTES of payload.
+
+    The range is cut into CELLS cells of equal width. A cell above SHARD_BYTES is cut again between its own least and
+    largest id, until each has one id or no more than that: far outliers don't leave the other ids in one cell.
+    """
+    sizes = stored(pages.select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).alias("n")), "page_sizes")
+    lo, hi = sizes.agg(F.min("page_id"), F.max("page_id")).first()
+    cells, open_ranges = [], [] if lo is None else [(lo, hi, CELLS)]
+    while open_ranges:
+        starts, inside = [], []  # of cells, and of what lies between the ranges
+        for lo, hi, k in sorted(open_ranges):
+            width = -(-(hi - lo + 1) // k)
+            cuts = range(lo, hi + 1, width)
+            starts += [*cuts, hi + 1]
+            inside += [True] * len(cuts) + [False]
+        at = [i for i, s in enumerate(starts[:-1]) if s < starts[i + 1]] + ([len(starts) - 1] if starts[-1] < 1 << 63 else [])
+        starts, inside = [starts[i] for i in at], [inside[i] for i in at]
+        rows = sizes.where(F.col("page_id") >= starts[0]).groupBy(place_of(starts).alias("cell")).agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.sum("n").alias("n"))
+        open_ranges = []
+        for row in rows.collect():  # the cells of this round at most
+            if inside[row["cell"]] and row["n"] > SHARD_BYTES and row["lo"] < row["hi"]:
+                open_ranges.append((row["lo"], row["hi"], max(64, 16 * -(-row["n"] // SHARD_BYTES))))
+            elif inside[row["cell"]]:
+                cells.append((row["lo"], row["n"]))
+    total, last, out = 0, -1, []
+    for lo, n in sorted(cells):
+        if total // SHARD_BYTES > last:
+            last = total // SHARD_BYTES
+            out.append(lo)
+        total += n
+    return out
 
 
 def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_bytes: int = 0) -> DataFrame:
@@ -77,12 +99,10 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_byt
     a null page_id is left out. One record is in memory at a time, whatever the size of a shard.
     """
     pages = pages.where(F.col("page_id").isNotNull()).select("page_id", "url", "html")
-    cells, n = shards(pages)
-    lo, hi = cells.select("lo", "hi").first() if n and "lo" in cells.columns else (0, 0)
-    cells = F.broadcast(cells.select("cell", "shard"))  # CELLS rows at most
+    starts = shards(pages)
     told = roles(pages, least_bytes).select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "digest", "refers_to")
     rows = pages.select("page_id", F.lit(1).alias("kind"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("html"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
-    both = told.unionByName(rows).withColumn("cell", cell_of(lo, hi)).join(cells, "cell").drop("cell")
+    both = told.unionByName(rows).withColumn("shard", place_of(starts) if starts else F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pyarrow.fs.FileSystem.from_uri(folder)
@@ -125,7 +145,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_byt
 
     store, base = pyarrow.fs.FileSystem.from_uri(folder)
     store.create_dir(f"{base}/_tmp")
-    dealt = both.select("page_id", "kind", "url", "html", "digest", "refers_to", "shard").repartition(n, "shard").sortWithinPartitions("shard", "page_id", "kind")
+    dealt = both.select("page_id", "kind", "url", "html", "digest", "refers_to", "shard").repartition(max(1, len(starts)), "shard").sortWithinPartitions("shard", "page_id", "kind")
     return stored(dealt.mapInArrow(run, "file string, records long, bytes long, sha256 string"), "manifest")
 
 
