@@ -14,7 +14,7 @@ STAGES = [
     ("mixing", stages.mixing),
     ("tokens", stages.tokens),
 ]
-#: Robust covariances, min-hash links and tokenizers have no SQL form: the tests hold stages against brute force.
+#: Robust covariances, min-hash links and tokenizers have no SQL form; tests cover repeated rows and parts of the stages.
 ORACLE_SQL = None
 
 
