@@ -102,7 +102,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_byt
     starts = shards(pages)
     told = roles(pages, least_bytes).select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "digest", "refers_to")
     rows = pages.select("page_id", F.lit(1).alias("kind"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("html"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
-    both = told.unionByName(rows).withColumn("shard", place_of(starts) if starts else F.lit(0))
+    both = told.unionByName(rows).withColumn("shard", (place_of(starts) if starts else F.lit(0)).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pyarrow.fs.FileSystem.from_uri(folder)
