@@ -13,10 +13,17 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a table that is broadcast after they are counted, and parts of a hot key where a table has more.
+MOST_BROADCAST = 100_000
+SALTS = 64
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a new local one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Unset, a local session gets one of its own; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -48,6 +55,19 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", most: int = MOST_BROADCAST) -> DataFrame:
+    """``rows`` with the columns of ``groups``, which has one row for each of ``keys``; a hot key stays spread.
+
+    ``groups`` is counted: up to ``most`` rows are broadcast, so no row of ``rows`` moves. A larger table is repeated
+    for SALTS salts and rows meet it by the keys and a hash of themselves, so that a key goes to as many tasks.
+    """
+    if groups.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(groups), keys, how)
+    salted = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALTS)).cast("int")
+    return rows.withColumn("__salt", salt).join(salted, [*keys, "__salt"], how).drop("__salt")
+
+
 def repeated_ids(docs: DataFrame) -> DataFrame:
     """``__many``: each doc_id that several rows of ``docs`` have."""
     many = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
