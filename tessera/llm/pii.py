@@ -1,7 +1,7 @@
 """Personal data: regex, gazetteer and context labelers, weighed by expectation-maximisation, train a span classifier.
 
 All rows are handled by DataFrame functions. The driver sees one row for each kind and pattern of votes: at most
-kinds * 3 ** labelers * shapes, whatever the corpus.
+kinds * 3 ** labelers * 2 ** features, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -13,31 +13,47 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stored, text_or_empty
 
-#: Patterns by kind, the first four as in the base definition. Possessive repeats and look-behinds
-#: change no match, only the work on long runs.
+#: Patterns of candidates by kind, the first four as in the base definition. Possessive repeats and look-behinds
+#: change no match, only the work on long runs. The others propose widely: whatever one labeler may take for the kind.
+NAMES = "pass(?:word|wd|phrase)?|pwd|credential|(?:api|access|private|secret|auth)[_-]?key|(?:client|app)?[_-]?secret|(?:auth|access|bearer|refresh|api)?[_-]?token"
+ASSIGNED = rf"(?i:{NAMES})[\"']?[\x20]*(?:=>|:=|[:=])[\x20]*[\"']?"
+PREFIXES = "AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|pk_|sk_|rk_|xox[abpr]-|AIza|ya29\\.|eyJ"
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?i)(?<![a-z0-9])(?:password|passwd|api[_-]?key|secret|token)[=:][^\x20\x09-\x0D]{8,}+",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": rf"(?<![A-Za-z0-9]){ASSIGNED}[^\x20\x09-\x0D\"'<>,;]{{6,}}+|(?<![A-Za-z0-9_+.@-])(?=[A-Za-z_+.-]*+[0-9])(?=[0-9_+.-]*+[A-Za-z])[A-Za-z0-9_+.-]{{16,}}+(?!@)",
+    "ssn": r"(?<![0-9-])[0-9]{3}[-\x20][0-9]{2}[-\x20][0-9]{4}(?![0-9-])",
+    "local_phone": r"(?<![0-9+)][\x20.-])(?<![0-9+(.-])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){3,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
 #: What a text must hold for a pattern to match at all.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "secret": None, "ssn": "-"}
-#: The gazetteers (beginnings or endings) and context words of the labelers.
+NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+#: The gazetteers (beginnings or endings, well-known prefixes of keys, placeholders, countries of accounts).
 DOMAINS = "com org net edu gov io de fr es uk".split()
 COUNTRY_CODES = "1 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 52 55 61 81 82 86 90 91".split()
 CARD_BEGINNINGS = "4 5 34 36 37 38 6011 62 64 65 2".split()
+PLACEHOLDERS = "example|sample|dummy|placeholder|changeme|change_me|your[_-]|xxxx|^0+$|^1234567|\\*\\*\\*|\\.\\.\\.|^(?:none|null|undefined|redacted)$"
+IBAN_COUNTRIES = "AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split()
+#: Context words for and against, near before a candidate.
 CONTEXT = {
     "email": "mail|contact|write|@",
     "ip": "ip|host|server|address|addr|ping",
     "card": "card|visa|master|credit|pay",
     "phone": "call|phone|tel|fax|mobile|contact",
-    "secret": "login|user|auth|config|credential",
+    "secret": f"{NAMES}|login|credential|authorization|secret",
     "ssn": "ssn|social|security|tax",
+    "local_phone": "call|phone|tel|fax|mobile|contact|dial",
+    "iban": "iban|account|bank|konto|compte|cuenta",
+}
+AGAINST = {
+    "secret": "commit|sha|md5|checksum|digest|hash|revision|uuid|guid|etag|version|isbn|https?:|www\\.|/",
+    "ssn": "isbn|part|order|version|ticket|no\\.|#",
+    "local_phone": "isbn|part|order|version|ticket|no\\.|#|\\$",
+    "iban": "isbn|serial|part|key",
 }
 CONTEXT_CHARS = 40
 ROUNDS = 30
@@ -59,15 +75,17 @@ def valid(kind: str, match: Column) -> Column:
         return F.when(F.length(digits).between(16, 19), _luhn(F.split(digits, ""))).otherwise(False)
     if kind == "phone":
         return F.length(digits).between(8, 15)
-    if kind == "secret":
-        return match.rlike("[=:].*[0-9]")
-    if kind == "ssn":
-        return ~match.rlike("^(?:000|666|9)") & ~match.rlike("-00-|-0000$")
     return F.lit(True)
 
 
+def _vote(yes: Column, no: Column) -> Column:
+    return F.when(yes, 1).when(no, -1).otherwise(0)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, kind, start, stop, ok, match, before`` for every match, and one row without a kind for each text.
+    """``row, doc_id, kind, start, stop, ok, match, before, named`` for every match, and one row without a kind for each text.
+
+    ``ok`` is the check of a base kind. The match of an assignment to a secret's name is the value alone, ``named`` says so.
 
     Offsets count code points, the end is exclusive. Matches and the gaps between them are cut out by the same
     pattern; sums of their lengths within a text give the offsets.
@@ -76,8 +94,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     has_digit = F.col("text").rlike("[0-9]")
     found = []
     for kind, pattern in PATTERNS.items():
-        may = F.contains("text", F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
-        may = may & has_digit if kind in ("ip", "card", "phone", "ssn", "secret") else may
+        may = F.contains("text", F.lit(NEEDS[kind])) if kind in NEEDS else F.lit(True)
+        may = may & has_digit if kind not in ("email", "secret") else may
         match = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
         gaps = F.transform(F.split("text", pattern, -1), lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(CONTEXT_CHARS)).alias("before")))
         pairs = F.zip_with(match, gaps, lambda m, g: F.struct(F.lit(kind).alias("kind"), m.alias("match"), g["n"].alias("gap"), g["before"].alias("before")))
@@ -89,65 +107,98 @@ def candidates(docs: DataFrame) -> DataFrame:
     upto = Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.sum(F.col("gap") + F.length("match")).over(upto)
     ok = F.lit(False)
-    for kind in KINDS:
+    for kind in BASE:
         ok = F.when(F.col("kind") == kind, valid(kind, F.col("match"))).otherwise(ok)
-    return out.select("row", "doc_id", "kind", (stop - F.length("match")).alias("start"), stop.alias("stop"), ok.alias("ok"), "match", "before")
+    value = F.when(F.col("kind") == "secret", F.regexp_replace("match", f"^{ASSIGNED}", "")).otherwise(F.col("match"))
+    out = out.select("row", "doc_id", "kind", stop.alias("stop"), ok.alias("ok"), value.alias("match"), "before", (F.length(value) < F.length("match")).alias("named"))
+    return out.select("row", "doc_id", "kind", (F.col("stop") - F.length("match")).alias("start"), "stop", "ok", "match", "before", "named")
 
 
-def _vote(yes: Column, no: Column) -> Column:
-    return F.when(yes, 1).when(no, -1).otherwise(0)
+VOTES = ("regex", "gazetteer", "context")
+#: What the classifier sees of a candidate beside its kind and the votes on it: features of the span itself.
+FEATURES = ("long", "hex", "mixed", "varied", "digits")
+
+
+def _iban(match: Column) -> Column:
+    """Whether an account number has the remainder 1 modulo 97, its letters read as 10 to 35."""
+    plain = F.regexp_replace(match, " ", "")
+    turned = F.split(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.left(plain, F.lit(4))), "")
+    value = F.transform(turned, lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55))
+    return F.aggregate(value, F.lit(0), lambda r, v: (r * F.when(v > 9, 100).otherwise(10) + v) % 97) == 1
 
 
 def votes(found: DataFrame) -> DataFrame:
-    """Adds ``regex, gazetteer, context`` (1, 0 to abstain, -1) and ``long`` to the candidates."""
+    """Adds ``regex, gazetteer, context`` (1, 0 to abstain, -1) and FEATURES (booleans) to the candidates."""
     digits = F.regexp_replace("match", "[^0-9]", "")
     starts = lambda c, names: c.rlike("^(?:" + "|".join(names) + ")")
-    gazetteer, context = F.lit(0), F.lit(0)
+    shaped = {kind: _vote(F.col("ok"), ~F.col("ok")) for kind in BASE} | {
+        "secret": _vote(F.col("named"), ~F.col("named") & ~F.col("match").rlike(f"^(?:{PREFIXES})")),
+        "ssn": _vote(~F.col("match").rlike("^(?:000|666|9)|[- ]00[- ]|[- ]0000$"), F.lit(True)),
+        "local_phone": _vote(digits.rlike("^[2-9][0-9]{2}[2-9]"), F.lit(True)),
+        "iban": _vote(_iban(F.col("match")), F.lit(True)),
+    }
     listed = {
         "email": _vote(F.lower("match").rlike(r"\.(?:" + "|".join(DOMAINS) + ")$"), F.col("match").rlike(r"\.[0-9-]+$")),
         "ip": _vote(starts(F.col("match"), [r"10\.", r"192\.168\.", r"172\.(?:1[6-9]|2[0-9]|3[01])\."]), starts(F.col("match"), [r"0\."])),
         "card": _vote(starts(digits, CARD_BEGINNINGS), ~starts(digits, CARD_BEGINNINGS)),
         "phone": _vote(starts(digits, COUNTRY_CODES), starts(digits, ["0"])),
-        "secret": _vote(F.col("match").rlike("[a-f0-9]{16,}"), F.lower("match").rlike(r"example|changeme|\*\*\*")),
+        "secret": F.when(F.col("match").rlike(f"(?i){PLACEHOLDERS}"), -1).when(F.col("match").rlike(f"^(?:{PREFIXES})"), 1).otherwise(0),
         "ssn": _vote(F.lit(False), starts(digits, ["123456789", "078051120"])),
+        "local_phone": _vote(F.lit(False), digits.rlike("^(?:1234567|0)")),
+        "iban": _vote(starts(F.col("match"), IBAN_COUNTRIES), ~starts(F.col("match"), IBAN_COUNTRIES)),
     }
+    near, other, regex, gazetteer = F.lit(False), F.lit(False), F.lit(0), F.lit(0)
     for kind in KINDS:
-        near = F.lower("before").rlike(f"(?:{CONTEXT[kind]})")
-        gazetteer = F.when(F.col("kind") == kind, listed[kind]).otherwise(gazetteer)
-        context = F.when(F.col("kind") == kind, _vote(near, F.col("before").rlike(r"(?i)(?:version|isbn|no\.|#|\$)[\x20:=]*$"))).otherwise(context)
-    long = F.length("match") >= 16
-    return found.withColumns({"regex": _vote(F.col("ok"), ~F.col("ok")), "gazetteer": gazetteer, "context": context, "long": long})
-
-
-VOTES = ("regex", "gazetteer", "context")
-
-
-def reliabilities(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[list[float], list[float]]:
-    """Accuracy of each labeler, and the probability of each pattern, from patterns of votes with their counts.
-
-    Dawid-Skene with one accuracy a labeler, which starts at 0.8 (the regex labeler at 0.95) and has a Beta(8, 2) prior.
+        is_kind = F.col("kind") == kind
+        near = F.when(is_kind, F.lower("before").rlike(f"(?:{CONTEXT[kind]})")).otherwise(near)
+        other = F.when(is_kind, F.lower("before").rlike(f"(?:{AGAINST[kind]})") if kind in AGAINST else F.col("before").rlike(r"(?i)(?:version|isbn|no\.|#|\$)[\x20:=]*$")).otherwise(other)
+        regex = F.when(is_kind, shaped[kind]).otherwise(regex)
+        gazetteer = F.when(is_kind, listed[kind]).otherwise(gazetteer)
+    context = F.when(other, -1).when(near | F.col("named"), 1).otherwise(0)
+    m = F.col("match")
+    return found.withColumns({
+        "regex": regex, "gazetteer": gazetteer, "context": context, "long": F.length(m) >= 20, "hex": m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"),
+        "mixed": m.rlike("[0-9]") & m.rlike("[A-Za-z]"), "varied": F.size(F.array_distinct(F.split(m, ""))) >= 10, "digits": m.rlike("^[^A-Za-z]+$"),
+    })
+
+
+def reliabilities(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[list[tuple[float, float]], list[float]]:
+    """Reliabilities of the labelers, and the probability of each pattern, from patterns of votes with their counts.
+
+    Dawid-Skene by expectation-maximisation: each labeler that votes has a chance to be right on true spans and one on
+    others, both with a Beta(8, 2) prior; an abstention says nothing. The share of true spans has a Beta(2, 2) prior.
     """
-    accuracy = [0.95] + [0.8] * (len(VOTES) - 1)
+    right = [(0.9, 0.9)] * len(VOTES)
     share, p = 0.5, [0.5] * len(patterns)
     for _ in range(ROUNDS):
         for k, (vote, _) in enumerate(patterns):
-            odds = math.log(share / (1 - share)) + sum(v * math.log(a / (1 - a)) for v, a in zip(vote, accuracy, strict=True))
+            odds = math.log(share / (1 - share))
+            for v, (yes, no) in zip(vote, right, strict=True):
+                odds += math.log(yes / (1 - no)) if v > 0 else math.log((1 - yes) / no) if v < 0 else 0.0
             p[k] = 1 / (1 + math.exp(-odds))
         total = sum(n for _, n in patterns)
-        share = min(0.99, max(0.01, (1 + sum(n * q for (_, n), q in zip(patterns, p, strict=True))) / (2 + total)))
-        for j in range(len(accuracy)):
-            right = sum(n * (q if v[j] > 0 else 1 - q) for (v, n), q in zip(patterns, p, strict=True) if v[j])
-            cast = sum(n for v, n in patterns if v[j])
-            accuracy[j] = min(0.995, max(0.55, (8 + right) / (10 + cast)))
-    return accuracy, p
+        share = (1 + sum(n * q for (_, n), q in zip(patterns, p, strict=True))) / (2 + total)
+        share = min(0.95, max(0.05, share))
+        for j in range(len(VOTES)):
+            on_true = [(n * q, v[j]) for (v, n), q in zip(patterns, p, strict=True) if v[j]]
+            on_false = [(n * (1 - q), v[j]) for (v, n), q in zip(patterns, p, strict=True) if v[j]]
+            yes = (8 + sum(w for w, v in on_true if v > 0)) / (10 + sum(w for w, _ in on_true))
+            no = (8 + sum(w for w, v in on_false if v < 0)) / (10 + sum(w for w, _ in on_false))
+            right[j] = (min(0.99, max(0.55, yes)), min(0.99, max(0.55, no)))  # better than chance, or classes could swap
+    return right, p
 
 
-def _row(kind: str, vote: tuple[int, ...], long: bool) -> list[float]:
-    return [1.0, *[float(kind == k) for k in KINDS], *[float(v > 0) for v in vote], *[float(v < 0) for v in vote], float(long)]
+def _row(kind: str, vote: tuple[int, ...], features: tuple[bool, ...]) -> list[float]:
+    """What the classifier weighs: for the kind alone, its votes either way, and the features of its spans."""
+    one = [1.0, *[float(v > 0) for v in vote], *[float(v < 0) for v in vote], *[float(f) for f in features]]
+    return [x if k == kind else 0.0 for k in KINDS for x in one]
 
 
-def train(counts: list[tuple[str, tuple[int, ...], bool, int]], steps: int = 400, rate: float = 1.0) -> list[float]:
-    """Weights of a logistic classifier on votes, kind and length, fitted to the labels that the labelers' model gives."""
+def train(counts: list[tuple[str, tuple[int, ...], tuple[bool, ...], int]], steps: int = 500, rate: float = 2.0) -> list[float]:
+    """Weights of a logistic classifier on votes and features by kind, fitted to the labels that the labelers' model gives.
+
+    ``counts`` has a row for each kind, pattern of votes and pattern of features, with the candidates that have it.
+    """
     target: dict[tuple, float] = {}
     for kind in KINDS:
         by_vote: dict[tuple[int, ...], int] = {}
@@ -157,46 +208,60 @@ def train(counts: list[tuple[str, tuple[int, ...], bool, int]], steps: int = 400
         if by_vote:
             patterns = sorted(by_vote.items())
             target |= {(kind, v): q for (v, _), q in zip(patterns, reliabilities(patterns)[1], strict=True)}
-    rows = [(_row(k, v, long), target[k, v], math.sqrt(n)) for k, v, long, n in counts]  # damped: no kind drowns another
-    total = sum(n for _, _, n in rows) or 1.0
-    weights = [0.0] * len(_row("", (0,) * len(VOTES), False))
-    for _ in range(steps):
-        slope = [0.002 * w for w in weights]
-        for x, q, n in rows:
-            miss = 1 / (1 + math.exp(-sum(a * b for a, b in zip(weights, x, strict=True)))) - q
-            for j, b in enumerate(x):
-                slope[j] += n / total * miss * b
-        weights = [w - rate * s for w, s in zip(weights, slope, strict=True)]
+    weights: list[float] = []
+    size = 1 + 2 * len(VOTES) + len(FEATURES)
+    for at, kind in enumerate(KINDS):
+        rows = [(_row(k, v, f)[at * size : (at + 1) * size], target[k, v], math.sqrt(n)) for k, v, f, n in counts if k == kind]  # damped: no pattern drowns another
+        total = sum(n for _, _, n in rows) or 1.0
+        w = [0.0] * size
+        for _ in range(steps if rows else 0):
+            slope = [0.002 * x for x in w]
+            for x, q, n in rows:
+                miss = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True)))) - q
+                for j, b in enumerate(x):
+                    if b:
+                        slope[j] += n / total * miss
+            w = [a - rate * s for a, s in zip(w, slope, strict=True)]
+        weights += w
     return weights
 
 
 def probability(weights: list[float]) -> Column:
     sign = [F.when(F.col(v) > 0, 1.0).otherwise(0.0) for v in VOTES] + [F.when(F.col(v) < 0, 1.0).otherwise(0.0) for v in VOTES]
-    columns = [F.lit(1.0), *[(F.col("kind") == k).cast("double") for k in KINDS], *sign, F.col("long").cast("double")]
-    score = F.lit(0.0)
-    for w, c in zip(weights, columns, strict=True):
-        score = score + F.lit(w) * c
+    columns = [F.lit(1.0), *sign, *[F.col(f).cast("double") for f in FEATURES]]
+    score = F.lit(None).cast("double")
+    for at, kind in enumerate(KINDS):
+        one = F.lit(0.0)
+        for w, c in zip(weights[at * len(columns) : (at + 1) * len(columns)], columns, strict=True):
+            one = one + F.lit(w) * c
+        score = F.when(F.col("kind") == kind, one).otherwise(score)
     return 1 / (1 + F.exp(-score))
 
 
+def judged(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, kind, start, stop, ok, p`` with the votes for every candidate: ``p`` is the classifier's probability."""
+    found = stored(votes(candidates(docs)).drop("match", "before"), "candidates")
+    counted = found.where("kind is not null").groupBy("kind", *VOTES, *FEATURES).count().collect()  # bounded by votes and features
+    weights = train(sorted((r["kind"], tuple(r[v] for v in VOTES), tuple(r[f] for f in FEATURES), r["count"]) for r in counted))
+    return found.withColumn("p", probability(weights))
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """``row, doc_id, kind, start, stop, base, p`` for every accepted span, one row with a null kind for each text.
 
-    Base spans are the valid matches of the four base kinds. Any other candidate is accepted if it passes its
-    kind's check and the classifier gives it one half or more.
+    Base spans are the valid matches of the four base kinds and stay. A candidate of another kind is accepted if the
+    classifier gives it one half or more, whatever the regex labeler says; so is no invalid match of a base kind.
     """
-    found = stored(votes(candidates(docs)).drop("match", "before"), "candidates")
-    counted = found.where("kind is not null").groupBy("kind", *VOTES, "long").count().collect()
-    weights = train(sorted((r["kind"], tuple(r[v] for v in VOTES), r["long"], r["count"]) for r in counted))
-    base = F.col("kind").isin(*BASE) & F.col("ok")
-    out = found.select("row", "doc_id", "kind", "start", "stop", "ok", F.coalesce(base, F.lit(False)).alias("base"), probability(weights).alias("p"))
-    return out.where(F.col("kind").isNull() | F.col("base") | (F.col("ok") & (F.col("p") >= 0.5))).drop("ok")
+    out = judged(docs)
+    base = F.coalesce(F.col("kind").isin(*BASE) & F.col("ok"), F.lit(False))
+    added = ~F.col("kind").isin(*BASE) & (F.col("p") >= 0.5)
+    return out.where(F.col("kind").isNull() | base | added).select("row", "doc_id", "kind", "start", "stop", base.alias("base"), "p")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of ``doc_id, text``, a row for each row.
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans`` of ``doc_id, text``, a row for each row.
 
-    Null and empty texts have no spans. A null doc_id is left out. Spans are listed as kind:start:end.
+    ``n_added`` counts the spans of other than base kinds, ``n_spans`` all. Null and empty texts have no spans. A null doc_id is left out. Spans are listed as kind:start:end.
     """
     found = spans(docs.where(F.col("doc_id").isNotNull()))
     order = F.lit(None).cast("int")
@@ -209,4 +274,4 @@ def personal_data(docs: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), span))).alias("all"),  # of one text
     )
     listed = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
-    return texts.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(listed(F.filter("all", lambda s: s["base"])), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"))
+    return texts.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(listed(F.filter("all", lambda s: s["base"])), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"), F.size(F.filter("all", lambda s: ~s["base"])).cast("long").alias("n_added"), F.size("all").cast("long").alias("n_spans"))
