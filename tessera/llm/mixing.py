@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import numbered, repeated_ids, stored, text_or_empty, word_count
+from tessera.llm.common import numbered, repeated_ids, spread_join, stored, text_or_empty, word_count
 
 #: Rows that one pivotal block holds on average, and blocks that meet in one node of the reduction tree.
 BLOCK_ROWS = 4096
@@ -19,15 +17,15 @@ MOST_COPIES = 3
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = MOST_COPIES) -> DataFrame:
-    """``source, source_size, target`` from ``source, source_size``.
+    """Adds ``source_key`` (the source's place from 0) and ``target`` to ``source, source_size``.
 
     Sources in code-point order, null last, get the weights in turn and share the sum of all sizes; a target stops
     at ``cap`` times its source's size and the excess goes to the others by weight until none is above. Only sums
     reach the driver, one round for each set of newly capped sources.
     """
     n = len(weights)
-    ranked = numbered(sizes.withColumn("__null", F.col("source").isNull()), ["__null", "source"], "__rank").drop("__null")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("__rank") % n + 1).cast("int"))
+    ranked = numbered(sizes.withColumn("__null", F.col("source").isNull()), ["__null", "source"], "source_key").drop("__null")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_key") % n + 1).cast("int"))
     ranked = ranked.withColumn("__weight", weight)
     most = F.col("source_size") * float(cap)
     level = 0.0  # target by unit of weight
@@ -44,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
         if new <= level:
             break
         level = new
-    return ranked.select("source", "source_size", F.least(F.col("__weight") * level, most).alias("target"))
+    return ranked.withColumn("target", F.least(F.col("__weight") * level, most)).drop("__weight")
 
 
 def _uniform(a: np.ndarray, seed: int) -> np.ndarray:
@@ -56,73 +54,73 @@ def _uniform(a: np.ndarray, seed: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-def pivot(share: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Pivotal rounding of the shares in their order: each pair moves mass until one is 0 or 1.
+def pivot(share: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Pivotal rounding of the shares in their order: each pair moves mass until one of the two is 0 or 1.
 
-    The result is 0 or 1 everywhere but at one place at most, whose share is what is left over.
+    What one of a pair loses in words (share times size) the other gains, so the words of all stay as they are, and
+    either way of moving is as likely as leaves every expected share as it is. Entries without words pair by shares.
+    The result is 0 or 1 everywhere but at two places at most (one with words, one without), whose shares are what is left over.
     """
     out = share.copy()
-    eps = 1e-12
-    held = -1  # the one entry that is still fractional
+    eps = 1e-9
+    held = {True: -1, False: -1}  # the one entry of either kind that is still fractional
     for i in range(len(out)):
         if not eps < out[i] < 1 - eps:
             out[i] = round(out[i])
             continue
-        if held < 0:
-            held = i
+        kind = bool(size[i] > 0)
+        h = held[kind]
+        if h < 0:
+            held[kind] = i
             continue
-        a, b = out[held], out[i]
-        both = a + b
-        if both < 1:
-            win = draws[i] * both < a  # the winner takes the mass, the other gets 0
-            out[held], out[i] = (both, 0.0) if win else (0.0, both)
-            held = held if win else i
-        else:
-            win = draws[i] * (2 - both) < 1 - b  # the winner becomes 1, the other keeps the rest
-            out[held], out[i] = (1.0, both - 1) if win else (both - 1, 1.0)
-            held = i if win else held
-        if not eps < out[held] < 1 - eps:
-            out[held] = round(out[held])
-            held = -1
+        sh, si = (float(size[h]), float(size[i])) if kind else (1.0, 1.0)
+        up = min((1 - out[h]) * sh, out[i] * si)  # words that h may gain, and lose
+        down = min(out[h] * sh, (1 - out[i]) * si)
+        gain = up if draws[i] * (up + down) < down else -down
+        out[h], out[i] = out[h] + gain / sh, out[i] - gain / si
+        left = [k for k in (h, i) if eps < out[k] < 1 - eps]
+        for k in (h, i):
+            if k not in left:
+                out[k] = round(out[k])
+        held[kind] = left[0] if left else -1
     return out
 
 
 def _block(seed: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id"], kind="stable")  # neighbours are of like size
-        rows["share"] = pivot(rows["share"].to_numpy(np.float64), _uniform(rows["doc_id"].to_numpy(np.int64), seed))
-        return rows
+        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")  # what is left over is small
+        share = pivot(rows["share"].to_numpy(np.float64), rows["size"].to_numpy(np.int64), _uniform(rows["doc_id"].to_numpy(np.int64), seed))
+        return rows.assign(share=share)
 
     return run
 
 
 def copies(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """Integer copies for ``doc_id, source_key, size, ratio``: floor(ratio) plus a rounded rest; adds ``copies``.
+    """Integer copies for ``doc_id, source_key, size, ratio, n`` (rows of the source): floor(ratio) plus a rounded rest; adds ``copies``.
 
-    Rows of a source fall into blocks by a hash of the id, about BLOCK_ROWS each however large the source is, and are
-    rounded within; each block leaves one fractional row at most. The left-over rows of FAN_IN blocks meet in
-    the next level of the tree, and so on; the last one of a source is drawn with its share.
+    Rows of a source fall into blocks by a hash of the id, about BLOCK_ROWS each however large the source is, are dealt out
+    by source and block, and are rounded within; each block leaves two fractional rows at most. The left-over rows of
+    FAN_IN blocks meet in the next level of the tree, and so on; the last ones of a source are rounded to the nearest.
     """
-    counts = docs.groupBy("source_key").agg(F.count("*").alias("__n"))
-    most = counts.agg(F.max("__n")).first()[0] or 0
-    joined = docs.join(counts, "source_key")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("__n") / BLOCK_ROWS))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS))
     whole = F.floor("ratio")
-    rows = joined.select(
+    rows = docs.select(
         "doc_id", "source_key", "size", whole.cast("long").alias("whole"), (F.col("ratio") - whole).alias("share"),
-        F.pmod(F.xxhash64("doc_id", F.lit(seed)), blocks).alias("block"),
+        F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), blocks).alias("block"),
     )
     schema = "doc_id long, source_key long, size long, whole long, share double, block long"
+    most = docs.agg(F.max("n")).first()[0] or 0
     done, level, n = None, 0, max(1, -(-most // BLOCK_ROWS))
     while True:
-        rounded = stored(rows.groupBy("source_key", "block").applyInPandas(_block(seed + level), schema), f"pivot{level}")
-        fractional = (F.col("share") > 1e-12) & (F.col("share") < 1 - 1e-12)
+        # dealt by both: Spark would take rows that a join left dealt by source_key alone as they are
+        dealt = rows.repartition("source_key", "block")
+        rounded = stored(dealt.groupBy("source_key", "block").applyInPandas(_block(seed + level), schema), f"pivot{level}")
+        fractional = (F.col("share") > 1e-9) & (F.col("share") < 1 - 1e-9)
         settled = rounded.where(~fractional)
         done = settled if done is None else done.unionByName(settled)
         rows = rounded.where(fractional).withColumn("block", F.floor(F.col("block") / FAN_IN))
         if n == 1:
-            last = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1000)), F.lit(1 << 30)) / float(1 << 30)
-            done = done.unionByName(rows.withColumn("share", F.when(last < F.col("share"), 1.0).otherwise(0.0)))
+            done = done.unionByName(rows)
             return done.select("doc_id", "source_key", "size", (F.col("whole") + F.round("share").cast("long")).alias("copies"))
         n, level = -(-n // FAN_IN), level + 1
 
@@ -131,18 +129,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), seed: int
     """``doc_id, source, size, source_size, target, copies, taken`` for ``doc_id, text, source``.
 
     A document's size is its number of words, null and empty texts have 0; a source takes ``target / source_size``
-    copies of each document on average, each document either floor or ceil of that. Sources without words take
-    nothing. A repeated doc_id is so many documents. Reruns on the same rows agree.
+    copies of each document on average, each document either floor or ceil of that. Words are what the rounding keeps,
+    so a source's taken words miss its target by half of one document at most. Sources without words take
+    nothing. A null source is one of its own. A repeated doc_id is so many documents. Reruns on the same rows agree.
     """
     sized = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "source", word_count(text_or_empty()).alias("size"))
-    sized = stored(sized, "sizes")
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
-    targets = stored(targets.withColumn("source_key", F.xxhash64(F.coalesce("source", F.lit("\x00null")))), "targets")
+    sized = stored(sized.withColumn("of", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))), "sizes")  # a key that is never null
+    sources = sized.groupBy("source", "of").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    targets = stored(source_targets(stored(sources, "sources"), weights), "targets")
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST_COPIES)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    keyed = sized.withColumn("source_key", F.xxhash64(F.coalesce("source", F.lit("\x00null"))))
-    with_ratio = keyed.join(targets.select("source_key", ratio.alias("ratio")), "source_key")
-    taken = copies(with_ratio, seed)
-    return taken.join(targets, "source_key").select(
+    keyed = spread_join(sized.drop("source"), targets.select("of", "source_key", "n", ratio.alias("ratio")), ["of"])
+    taken = copies(stored(keyed.drop("of"), "ratios"), seed)
+    told = targets.select("source_key", "source", "source_size", "target")
+    return spread_join(taken, told, ["source_key"]).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
