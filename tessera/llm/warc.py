@@ -11,26 +11,37 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
 
-#: Compressed bytes after which a file is rolled, bytes of payload in a shard, and cells that the id range is cut into at first.
+#: Compressed bytes after which a file is rolled, bytes of payload in a shard at least, and shards at most: what their
+#: first ids take in a task. A corpus above the product has larger shards, whose files are rolled all the same.
 ROLL_BYTES = 32 << 20
 SHARD_BYTES = 32 << 20
-CELLS = 4096
+MOST_SHARDS = 1 << 16
+HOT_SHARE = 1000
 DATE = "2024-01-01T00:00:00Z"
 
 
 def roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``page_id, digest, refers_to`` of the distinct pages: of equal payloads of ``least_bytes`` bytes or more the
-    smallest page_id is the response (``refers_to`` null), others refer to it."""
+    smallest page_id is the response (``refers_to`` null), others refer to it.
+
+    A payload that more than one in HOT_SHARE pages has meets its pages by a broadcast of at most HOT_SHARE rows,
+    so that a page that a third of all pages equals doesn't gather in one task."""
     html = F.coalesce("html", F.lit("")).cast("binary")
-    each = pages.select("page_id", F.sha1(html).alias("digest"), F.octet_length(html).alias("bytes")).distinct()
+    each = stored(pages.select("page_id", F.sha1(html).alias("digest"), F.octet_length(html).alias("bytes")).distinct(), "digests")
     first = each.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    joined = each.join(first.select("digest", "first"), "digest", "left")
-    return joined.select("page_id", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    first = stored(first, "firsts")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_SHARE > total
+    some = F.broadcast(first.where(hot).select("digest", F.col("first").alias("hot_first")))
+    told = each.join(some, "digest", "left")
+    rest = first.where(~hot).select(F.col("digest").alias("cold"), "first")
+    told = told.join(rest, F.when(F.col("hot_first").isNull(), F.col("digest")) == F.col("cold"), "left").withColumn("first", F.coalesce("hot_first", "first"))
+    return told.select("page_id", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
 
 
 def _record(page: int, url: str | None, html: bytes, refers_to: int | None) -> bytes:
@@ -56,37 +67,29 @@ def place_of(starts: list[int]) -> Column:
 
 
 def shards(pages: DataFrame) -> list[int]:
-    """The first id of each shard: runs of cells of the id range with about SHARD_BYTES of payload.
+    """The first id of each shard: in the order of ids a shard begins where the payload before it has passed another
+    SHARD_BYTES (more above MOST_SHARDS of them).
 
-    The range is cut into CELLS cells of equal width. A cell above SHARD_BYTES is cut again between its own least and
-    largest id, until each has one id or no more than that: far outliers don't leave the other ids in one cell.
+    Ids and sizes alone are sorted by range; running sums inside the ranges and the ranges' totals give the payload
+    before each page, so the ids decide where shards begin and how Spark deals the ranges doesn't.
     """
-    sizes = stored(pages.select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).alias("n")), "page_sizes")
-    lo, hi = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    cells, open_ranges = [], [] if lo is None else [(lo, hi, CELLS)]
-    while open_ranges:
-        starts, inside = [], []  # of cells, and of what lies between the ranges
-        for lo, hi, k in sorted(open_ranges):
-            width = -(-(hi - lo + 1) // k)
-            cuts = range(lo, hi + 1, width)
-            starts += [*cuts, hi + 1]
-            inside += [True] * len(cuts) + [False]
-        at = [i for i, s in enumerate(starts[:-1]) if s < starts[i + 1]] + ([len(starts) - 1] if starts[-1] < 1 << 63 else [])
-        starts, inside = [starts[i] for i in at], [inside[i] for i in at]
-        rows = sizes.where(F.col("page_id") >= starts[0]).groupBy(place_of(starts).alias("cell")).agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.sum("n").alias("n"))
-        open_ranges = []
-        for row in rows.collect():  # the cells of this round at most
-            if inside[row["cell"]] and row["n"] > SHARD_BYTES and row["lo"] < row["hi"]:
-                open_ranges.append((row["lo"], row["hi"], max(64, 16 * -(-row["n"] // SHARD_BYTES))))
-            elif inside[row["cell"]]:
-                cells.append((row["lo"], row["n"]))
-    total, last, out = 0, -1, []
-    for lo, n in sorted(cells):
-        if total // SHARD_BYTES > last:
-            last = total // SHARD_BYTES
-            out.append(lo)
-        total += n
-    return out
+    n = max(1, pages.sparkSession.sparkContext.defaultParallelism)
+    sizes = pages.select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("n")).groupBy("page_id").agg(F.sum("n").alias("n"))
+    parted = stored(sizes.repartitionByRange(n, "page_id").withColumn("part", F.spark_partition_id()), "page_sizes")
+    totals = sorted((r["part"], r["n"]) for r in parted.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row for each range
+    total = sum(size for _, size in totals)
+    step = max(SHARD_BYTES, -(-total // MOST_SHARDS))
+    before, begin = 0, []
+    for part, size in totals:
+        begin.append((part, before))
+        before += size
+    if not begin:
+        return []
+    carry = F.broadcast(pages.sparkSession.createDataFrame(begin, "part int, begin long"))
+    upto = Window.partitionBy("part").orderBy("page_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = parted.select("page_id", "part", (F.sum("n").over(upto) - F.col("n")).alias("inside")).join(carry, "part")
+    firsts = running.groupBy(F.floor((F.col("begin") + F.col("inside")) / step).alias("shard")).agg(F.min("page_id").alias("first"))
+    return sorted(r["first"] for r in firsts.collect())  # MOST_SHARDS + 1 at most
 
 
 def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_bytes: int = 0) -> DataFrame:
@@ -145,7 +148,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_byt
 
     store, base = pyarrow.fs.FileSystem.from_uri(folder)
     store.create_dir(f"{base}/_tmp")
-    dealt = both.select("page_id", "kind", "url", "html", "digest", "refers_to", "shard").repartition(max(1, len(starts)), "shard").sortWithinPartitions("shard", "page_id", "kind")
+    dealt = both.select("page_id", "kind", "url", "html", "digest", "refers_to", "shard").repartitionById(max(1, len(starts)), F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "kind")
     return stored(dealt.mapInArrow(run, "file string, records long, bytes long, sha256 string"), "manifest")
 
 
