@@ -25,6 +25,8 @@ PER_CENT = 75
 BANDS = 92
 BAND_ROWS = 8
 SKETCHED = 704
+#: Parts that all pairs are dealt into at least where one document has many of them.
+PARTS = 1000
 LEAST_SKETCHED = 526
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -130,8 +132,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for part in _slices(texts):
                     for s in shingle_sets(texts[part]):
                         sizes.append(len(s))
-                        digest = [np.sum(_mix(s + c), dtype=np.uint64) for c in (np.uint64(1), np.uint64(2))]
-                        same.append(np.array(digest, np.uint64).tobytes())
+                        same.append(_digest(s))
                         if len(s):
                             pairs = minhashes(s, scale, shift).reshape(2 * ENTRIES, ROWS)
                             key = _mix(_mix(pairs[:, 0] + np.arange(2 * ENTRIES, dtype=np.uint64)) + pairs[:, 1])
@@ -150,34 +151,56 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
+def _digest(s: np.ndarray) -> bytes:
+    """128 bits of a set of shingle hashes, whatever their order."""
+    return np.array([np.sum(_mix(s + c), dtype=np.uint64) for c in (np.uint64(1), np.uint64(2))], np.uint64).tobytes()
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, shingles (binary)``: the sorted set as little-endian unsigned 64-bit numbers."""
+    """``doc_id, same, shingles (binary)``: the sorted set as little-endian unsigned 64-bit numbers, and its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 texts = batch.column(1).to_pylist()
-                out = [s.tobytes() for part in _slices(texts) for s in shingle_sets(texts[part])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "shingles"])
+                sets = [s for part in _slices(texts) for s in shingle_sets(texts[part])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "same", "shingles"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, shingles binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, same binary, shingles binary")
 
 
 def intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, common`` for ``a, b``: the exact size of the intersection of the full sets."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    """``a, b, common`` for ``a, b``: the exact size of the intersection of the full sets.
+
+    The pairs of one ``a`` go to as many parts as their share of all pairs asks for (PARTS of all pairs), so a document
+    that a third of all others is compared with fills no task. Its set is sent once to each part, and the sets of its partners follow.
+    """
+    pairs = stored(pairs.select("a", "b"), "pairs")
+    counts = stored(pairs.groupBy("a").agg(F.count("*").alias("n")), "partners")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("n") * PARTS > total).select("a", F.ceil(F.col("n") * PARTS / F.lit(max(1, total))).cast("int").alias("parts")))  # PARTS rows at most
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = pairs.join(hot, "a", "left").select("a", "b", part.alias("part"))
+    of_b = dealt.join(sets.select(F.col("doc_id").alias("b"), "shingles"), "b").select("a", "part", "b", "shingles")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    of_a = counts.select("a").join(hot, "a", "left").join(sets.select(F.col("doc_id").alias("a"), "shingles"), "a")
+    of_a = of_a.select("a", parts, F.lit(None).cast("long").alias("b"), "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, np.uint64)  # the set of the a that is open
         for batch in batches:
-            common = [
-                len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64())], ["a", "b", "common"])
+            rows = []
+            for a, b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                one = np.frombuffer(data.as_buffer(), np.uint64)
+                if b is None:
+                    head = one.copy()
+                else:
+                    rows.append((a, b, len(np.intersect1d(head, one, assume_unique=True))))
+            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "common"])
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "a long, b long, common long")
+    met = of_a.unionByName(of_b).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return met.select("a", "b", "shingles").mapInArrow(run, "a long, b long, common long")
 
 
 def second_signatures(sets: DataFrame) -> DataFrame:
@@ -231,11 +254,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
        link out.
 
     Pairs within a component never need comparing, so a large group of copies costs a few comparisons for each of
-    its members. Rows of a repeated doc_id count as one document, that with the smallest set digest; a null doc_id is left out.
+    its members. Rows of a repeated doc_id count as one document, that with the fewest shingles, of these
+    that with the smallest digest of its set, whatever the order of rows; a null doc_id is left out.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     signed = stored(signatures(docs), "signatures")
     signed = signed.groupBy("doc_id").agg(F.min(F.struct("n", "same", "entries")).alias("s")).select("doc_id", "s.*")
+    signed = stored(signed, "signed")
     classes = signed.where("n > 0").groupBy("same", "n").agg(F.min(F.struct("doc_id", "entries")).alias("r"))
     classes = stored(classes.select("same", "n", F.col("r.doc_id").alias("rep"), F.col("r.entries").alias("entries")), "classes")
 
@@ -257,8 +282,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     sizes = classes.select(F.col("rep").alias("doc"), "n")
     busy = stored(tables.select("doc").distinct(), "busy")
-    sets = stored(sets_of(docs.join(busy.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")), "sets")
-    sets = sets.dropDuplicates(["doc_id"])
+    sets = sets_of(docs.join(busy.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"))
+    chosen = signed.select("doc_id", "same")  # of a repeated doc_id the row that its signature is from
+    sets = stored(sets.join(chosen, ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id"]), "sets")
 
     def sized(pairs: DataFrame) -> DataFrame:
         """With the sizes ``na, nb``, without pairs whose sizes rule a link out."""
