@@ -6,13 +6,13 @@ Each distinct word is therefore encoded once, and its ids are joined back by pos
 
 * frequent words form a broadcast table of at most ``most_words`` rows, which no corpus can enlarge;
 * every other word travels once for each block of documents that has it, is encoded once where all blocks'
-  mentions of it meet, and its ids travel back to the blocks. Nothing is dealt out by a key that can be hot.
+  mentions of it meet, and its ids travel back to the blocks. Nothing is dealt out by a key that can be hot. A block
+  sends no more lists than it has such words, so what travels grows with the corpus.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import os
 import re
 import zlib
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
@@ -35,6 +35,8 @@ MOST_WORD_BYTES = 48
 LEAST_SEEN = 6
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 1 << 22
+#: Bytes of the corpus' text for each bucket of the words that are in no table.
+BUCKET_BYTES = 1 << 26
 _GAP = np.uint32(0xFFFFFFFF)
 _ENDS = re.compile(rb"(?<=[A-Za-z])([,.])(?![^\x20\x09-\x0D])")
 
@@ -43,6 +45,10 @@ def words_of(text: bytes) -> list[bytes]:
     return _ENDS.sub(rb" \1", text).split()
 
 
+#: A text with blanks, stops and commas at every place that texts are split at, inside words and at their ends.
+_PROBE = "Ab cd, ef. 1,000.50 x,y  don't\n\tthe end... (so), u.s. d\u00e9j\u00e0, \u4e2d\u6587. <a>."
+
+
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str, specials_are_text: bool):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,6 +58,11 @@ def tokenizer(path: str, specials_are_text: bool):
     out.no_truncation()
     out.no_padding()
     out.encode_special_tokens = specials_are_text
+    if out.decoder is not None:
+        raise ValueError(f"{path}: pieces must be joined by spaces, but this tokenizer has a decoder")
+    ids = lambda text: out.encode(text, add_special_tokens=False).ids
+    if ids(_PROBE) != [i for w in words_of(_PROBE.encode()) for i in ids(w.decode())]:
+        raise ValueError(f"{path}: this tokenizer's ids of a text are not those of its words")
     return out
 
 
@@ -61,8 +72,8 @@ def encode_words(words: list[bytes], path: str, specials_are_text: bool) -> list
     return [np.array(e.ids, np.uint32).tobytes() for e in made]
 
 
-def frequent_words(docs: DataFrame, most_words: int = MOST_WORDS, least_seen: int = LEAST_SEEN) -> DataFrame:
-    """``word binary, n long``: at most ``most_words`` words, the most frequent by tasks' counts.
+def frequent_words(docs: DataFrame, most_words: int = MOST_WORDS, least_seen: int = LEAST_SEEN) -> tuple[DataFrame, int]:
+    """``word binary, n long``: at most ``most_words`` words, the most frequent by tasks' counts; and the bytes of all texts.
 
     Which words are in the table changes the cost of the encoding, never its result. The threshold is
     read off a histogram of the counts' logarithms, so there is no global sort.
@@ -70,6 +81,7 @@ def frequent_words(docs: DataFrame, most_words: int = MOST_WORDS, least_seen: in
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
+        size = 0
 
         def out(least: int) -> pa.RecordBatch:
             rows = [(w, n) for w, n in seen.items() if n >= least and len(w) <= MOST_WORD_BYTES]
@@ -78,20 +90,24 @@ def frequent_words(docs: DataFrame, most_words: int = MOST_WORDS, least_seen: in
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(words_of(text))
+                size += len(text)
             if len(seen) > 1_000_000:  # bounded memory: rare words go, frequent ones come again
                 yield out(least_seen)
                 seen.clear()
         yield out(least_seen)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([size], pa.int64())], ["word", "n"])
 
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     counts = stored(texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    size = counts.where("word is null").agg(F.sum("n")).first()[0] or 0
+    counts = counts.where("word is not null")
     steps = counts.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("step")).count().collect()  # 512 rows at most
     total, least = 0, None
     for step, rows in sorted(((r["step"], r["count"]) for r in steps), reverse=True):
         if total + rows > most_words:
             break
         total, least = total + rows, step
-    return counts.where(F.lit(False) if least is None else F.floor(F.log2("n") * 8) >= least)
+    return counts.where(F.lit(False) if least is None else F.floor(F.log2("n") * 8) >= least), size
 
 
 def encoded_table(words: DataFrame, path: str, specials_are_text: bool) -> dict[bytes, bytes]:
@@ -118,7 +134,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def encode(docs: DataFrame, path: str, specials_are_text: bool = False, most_words: int = MOST_WORDS, least_seen: int = LEAST_SEEN) -> DataFrame:
-    """``doc_id, ids binary`` for ``doc_id, text``: the ids of every text as little-endian unsigned 32-bit numbers.
+    """``doc_id, ids array<int>`` for ``doc_id, text``: the ids of every text.
 
     Null and empty texts have no ids. Repeated rows give as many rows. A null doc_id is left out.
     ``specials_are_text``: the strings of special tokens in a text are ordinary text.
@@ -129,9 +145,10 @@ def encode(docs: DataFrame, path: str, specials_are_text: bool = False, most_wor
     """
     spark = docs.sparkSession
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    table = encoded_table(frequent_words(docs, most_words, least_seen), path, specials_are_text)
+    words, size = frequent_words(docs, most_words, least_seen)
+    table = encoded_table(words, path, specials_are_text)
     hot = spark.sparkContext.broadcast((list(table), list(table.values())))
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(8, size // BUCKET_BYTES)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {w: i for i, w in enumerate(hot.value[0])}
@@ -143,21 +160,22 @@ def encode(docs: DataFrame, path: str, specials_are_text: bool = False, most_wor
             flat = [w for ws in words for w in ws]
             at = [known(w) for w in flat]
             own = {w for w, i in zip(flat, at, strict=True) if i is None}
-            dealt: list[list[bytes]] = [[] for _ in range(buckets)]
+            dealt: dict[int, list[bytes]] = {}
             for w in own:
-                dealt[zlib.crc32(w) % buckets].append(w)
-            for ws in dealt:
+                dealt.setdefault(zlib.crc32(w) % buckets, []).append(w)
+            used = sorted(dealt)
+            for ws in dealt.values():
                 ws.sort()
-            place = {w: first + i for i, w in enumerate(w for ws in dealt for w in ws)}
+            place = {w: first + i for i, w in enumerate(w for b in used for w in dealt[b])}
             at = np.fromiter((place[w] if i is None else i for w, i in zip(flat, at, strict=True)), np.uint32, len(flat))
-            lists = [zstandard.compress(b" ".join(ws), 3) if ws else b"" for ws in dealt]
+            lists = [zstandard.compress(b" ".join(dealt[b]), 3) for b in used]
             n += 1
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([task << 32 | n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(ws) for ws in words]], pa.list_(pa.int32())),
-                    pa.array([_packed(at)], pa.binary()), pa.array([lists], pa.list_(pa.binary())),
+                    pa.array([_packed(at)], pa.binary()), pa.array([used], pa.list_(pa.int32())), pa.array([lists], pa.list_(pa.binary())),
                 ],
-                ["block", "ids", "lengths", "words", "lists"],
+                ["block", "ids", "lengths", "words", "buckets", "lists"],
             )
 
         ids, texts, size = [], [], 0
@@ -201,7 +219,9 @@ def encode(docs: DataFrame, path: str, specials_are_text: bool = False, most_wor
             for n in lengths:
                 out.append(b"".join(map(piece, flat[cut : cut + n])))
                 cut += n
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "ids"])
+            ends = np.cumsum([0, *map(len, out)]) // 4
+            flat = pa.array(np.frombuffer(b"".join(out), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "ids"])
 
         for batch in batches:
             for _, bucket, data, ids, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -214,15 +234,15 @@ def encode(docs: DataFrame, path: str, specials_are_text: bool = False, most_wor
 
     made = stored(
         docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(
-            blocks, "block long, ids array<long>, lengths array<int>, words binary, lists array<binary>"
+            blocks, "block long, ids array<long>, lengths array<int>, words binary, buckets array<int>, lists array<binary>"
         ),
         "blocks",
     )
-    asked = made.select("block", F.posexplode("lists").alias("bucket", "data")).where(F.length("data") > 0)
+    asked = made.select("block", F.explode(F.arrays_zip("buckets", "lists")).alias("x")).select("block", F.col("x.buckets").alias("bucket"), F.col("x.lists").alias("data"))
     replies = asked.repartition("bucket").mapInArrow(once, "block long, bucket int, data binary")
     none = {"ids": F.lit(None).cast("array<long>"), "lengths": F.lit(None).cast("array<int>")}
     rows = made.select("block", F.lit(-1).alias("bucket"), F.col("words").alias("data"), "ids", "lengths").unionByName(replies.withColumns(none))
-    return rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(joined, "doc_id long, ids binary")
+    return rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(joined, "doc_id long, ids array<int>")
 
 
 def _split(numbers: np.ndarray) -> list[np.ndarray]:
@@ -232,37 +252,26 @@ def _split(numbers: np.ndarray) -> list[np.ndarray]:
     return [numbers[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def pieces_of(path: str) -> list[str]:
-    """Id to piece: as many entries as the tokenizer's vocabulary has."""
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """``id, piece``: as many rows as the tokenizer's vocabulary has."""
     made = tokenizer(path, False)
-    return [made.id_to_token(i) or "" for i in range(made.get_vocab_size(with_added_tokens=True))]
+    rows = [(i, made.id_to_token(i) or "") for i in range(made.get_vocab_size(with_added_tokens=True))]
+    return spark.createDataFrame(rows, "id int, piece string")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``doc_id, text`` for ``doc_id, ids``: pieces joined by one space, as a tokenizer without a decoder does it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces_of(path).__getitem__
-        for batch in batches:
-            texts = [" ".join(map(piece, np.frombuffer(b or b"", np.uint32).tolist())) for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+    """``encoded`` with ``text``: each id's piece, joined by one space, as a tokenizer without a decoder does it.
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    The table of pieces, which the vocabulary bounds, is laid out by id in one row and joined to every text as a broadcast, so ids
+    meet their pieces where the text is and no position travels.
+    """
+    row = F.transform(F.sort_array(F.collect_list(F.struct("id", "piece"))), lambda p: p["piece"]).alias("__pieces")
+    laid = pieces(encoded.sparkSession, path).agg(row)
+    met = encoded.join(F.broadcast(laid))  # one row
+    return met.withColumn("text", F.array_join(F.transform("ids", lambda i: F.get("__pieces", i)), " ")).drop("__pieces")
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: ids in decimal and the decoded text, joined by one space each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [p.encode() for p in pieces_of(path)]
-        piece, number = pieces.__getitem__, [b"%d" % i for i in range(len(pieces))].__getitem__
-        for batch in batches:
-            n, ids_sha, text_sha = [], [], []
-            for b in batch.column(1).to_pylist():
-                ids = np.frombuffer(b or b"", np.uint32).tolist()
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(b" ".join(map(number, ids))).hexdigest())
-                text_sha.append(hashlib.sha256(b" ".join(map(piece, ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: ids in decimal joined by one space, and the text of :func:`decode`."""
+    numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decode(encoded, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
