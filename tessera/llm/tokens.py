@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import encode_words, words_of
+from tessera.llm.bpe import encode_words, tokenizer, words_of
 from tessera.llm.common import stored
 
 #: Tokens in a block of the scan, and in a file that the writer makes.
@@ -19,19 +19,26 @@ BLOCK = 1 << 20
 FILE_TOKENS = 1 << 24
 
 
+def width(path: str, end: int) -> str:
+    """The type of a token in files: 16 bits if every id of the vocabulary and ``end`` fit, else 32."""
+    return "<u2" if max(tokenizer(path, True).get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 and end < 1 << 16 else "<u4"
+
+
 def write(docs: DataFrame, folder: str, path: str, end: int) -> tuple[DataFrame, DataFrame]:
-    """Write the texts' ids, each text followed by ``end``, as flat little-endian 16-bit files.
+    """Write the texts' ids, each text followed by ``end``, as flat little-endian files of numbers of :func:`width`.
 
     Returns the files ``file, tokens`` and the order of documents ``file, at, doc_id``. Strings of special tokens in a text are
     ordinary text, so ``end`` occurs at ends only. Null texts are empty; a null doc_id is left out. A task keeps the ids
     of words that it has met. Files are moved into place when complete.
     """
 
+    kind = width(path, end)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pyarrow.fs.FileSystem.from_uri(folder)
         task, attempt, seq = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
         met: dict[bytes, bytes] = {}
-        stop = np.array([end], "<u2").tobytes()
+        stop = np.array([end], kind).tobytes()
         ids: list[int] = []
         parts: list[bytes] = []
         size = 0
@@ -44,7 +51,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int) -> tuple[DataFrame,
                 for part in parts:
                     out.write(part)
             store.move(tmp, f"{base}/{name}")
-            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size // 2], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["file", "tokens", "ids"])
+            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size // len(stop)], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["file", "tokens", "ids"])
             seq, ids, parts, size = seq + 1, [], [], 0
             return row
 
@@ -52,13 +59,13 @@ def write(docs: DataFrame, folder: str, path: str, end: int) -> tuple[DataFrame,
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
                 new = [w for w in set(words) if w not in met]
-                met.update((w, np.frombuffer(b, np.uint32).astype("<u2").tobytes()) for w, b in zip(new, encode_words(new, path, True), strict=True))
+                met.update((w, np.frombuffer(b, np.uint32).astype(kind).tobytes()) for w, b in zip(new, encode_words(new, path, True), strict=True))
                 parts.append(b"".join([*map(met.__getitem__, words), stop]))
                 ids.append(doc)
                 size += len(parts[-1])
                 if len(met) > 400_000:
                     met.clear()
-                if size >= 2 * FILE_TOKENS:
+                if size >= len(stop) * FILE_TOKENS:
                     yield flush()
         if ids:
             yield flush()
@@ -70,14 +77,15 @@ def write(docs: DataFrame, folder: str, path: str, end: int) -> tuple[DataFrame,
     return made.select("file", "tokens"), made.select("file", F.posexplode("ids").alias("at", "doc_id"))
 
 
-def scan(files: DataFrame, folder: str, end: int, block: int = BLOCK) -> DataFrame:
+def scan(files: DataFrame, folder: str, end: int, block: int = BLOCK, kind: str = "<u2") -> DataFrame:
     """``ordinal, file, at, n_tokens`` of every document in the files ``file, tokens``, read as one stream by file name.
 
     Blocks are searched on their own. Documents before a block and the place where the last one before it ended come
     from a prefix scan: running sums and maxima inside ranges of blocks, then over the ranges. ``n_tokens`` leaves the
-    separator out; ``at`` counts the ends in the document's file. Tokens after the last separator are a document.
+    separator out; ``kind`` is the type of a token; ``at`` counts the ends in the document's file. Tokens after the last separator are a document.
     """
     spark = files.sparkSession
+    size = np.dtype(kind).itemsize
     cuts = files.select("file", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("tokens") - 1, F.lit(0)), F.lit(block))).alias("begin"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +94,7 @@ def scan(files: DataFrame, folder: str, end: int, block: int = BLOCK) -> DataFra
             ends, sizes = [], []
             for file, begin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_file(f"{base}/{file}") as source:
-                    tokens = np.frombuffer(source.read_at(2 * block, 2 * begin), "<u2")
+                    tokens = np.frombuffer(source.read_at(size * block, size * begin), kind)
                 ends.append(np.flatnonzero(tokens == end))
                 sizes.append(len(tokens))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], ["file", "begin", "size", "ends"])
@@ -124,4 +132,4 @@ def scan(files: DataFrame, folder: str, end: int, block: int = BLOCK) -> DataFra
 def counts(docs: DataFrame, spark: SparkSession, folder: str, path: str, end: int) -> DataFrame:
     """``doc_id, ordinal, n_tokens`` of ``doc_id, text``: written as token files, then counted by the scan."""
     files, order = write(docs, folder, path, end)
-    return scan(files, folder, end).join(order, ["file", "at"]).select("doc_id", "ordinal", "n_tokens")
+    return scan(files, folder, end, kind=width(path, end)).join(order, ["file", "at"]).select("doc_id", "ordinal", "n_tokens")
