@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import let, stored, text_or_empty
 
-#: Lines of so many characters at least are also compared within one edit; shorter ones only for equality.
-LEAST_CHARS = 20
-
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no, line`` of the ``\\n``-split lines that hold a word; numbers start at 0."""
@@ -17,7 +14,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _halves(line: Column) -> Column:
+def _halves(line: Column, least_chars: int) -> Column:
     """Hashes of the first and last half, for this length and for one more: lines one edit apart share one."""
 
     def keys(n: Column) -> Column:
@@ -25,7 +22,7 @@ def _halves(line: Column) -> Column:
         return F.array(F.xxhash64(F.lit("first"), p, F.substring(line, F.lit(1), p)), F.xxhash64(F.lit("last"), p, F.right(line, p)))
 
     n = F.length(line)
-    return F.when(n >= LEAST_CHARS, F.array_distinct(F.concat(keys(n), keys(n + 1)))).otherwise(F.array().cast("array<long>"))
+    return F.when(n >= least_chars, F.array_distinct(F.concat(keys(n), keys(n + 1)))).otherwise(F.array().cast("array<long>"))
 
 
 def _blocks(lines: DataFrame) -> DataFrame:
@@ -88,16 +85,17 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     return checked.select("id")
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, least_chars: int = 0) -> DataFrame:
     """``doc_id, exact (array<int>), near (array<int>)``: numbers of the lines of ``doc_id, text`` that go.
 
-    A line goes if an equal one, or one within one edit (for LEAST_CHARS characters or more), comes earlier by
+    A line goes if an equal one, or one within one edit, comes earlier by
     (doc_id, line number), whether or not that one stays. Lines without a word stay. Rows of a repeated doc_id
-    share their line numbers. A null doc_id is left out.
+    share their line numbers. A null doc_id is left out. A caller may ask for ``least_chars`` characters, under which lines
+    are compared for equality only.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     found = occurrences(docs).select(
-        F.struct("doc_id", "line_no").alias("id"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("g"), let(F.col("line"), _halves).alias("halves")
+        F.struct("doc_id", "line_no").alias("id"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("g"), let(F.col("line"), lambda line: _halves(line, least_chars)).alias("halves")
     )
     # one row for each distinct line; halves are equal within it
     distinct = stored(found.groupBy("h", "g").agg(F.min("id").alias("first"), F.first("halves").alias("halves")), "distinct")
