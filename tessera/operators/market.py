@@ -9,9 +9,9 @@ ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "
 
 
 def bars(lineitem: DataFrame, part: DataFrame, unit: str = "week") -> DataFrame:
-    """``symbol, ts, open, high, low, close, volume, adj_close``: one partial aggregate, one exchange."""
+    """``symbol, ts, open, high, low, close, volume, adj_close``: one partial aggregate, one exchange. A quantity of 0 gives no price."""
     rows = lineitem.join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol")), "l_partkey")
-    px = F.col("l_extendedprice") / F.col("l_quantity")
+    px = F.try_divide("l_extendedprice", "l_quantity")
     key = F.struct(*ORDER)
     rows = rows.select("symbol", F.date_trunc(unit, "l_shipdate").alias("ts"), px.alias("px"), key.alias("k"), "l_quantity", "l_discount")
     out = rows.groupBy("symbol", "ts").agg(
@@ -26,18 +26,19 @@ def trailing(n: int) -> Window:
 
 
 def features(b: DataFrame) -> DataFrame:
-    """Returns, averages, volatility and channel of the adjusted close; null where history is too short. One sort."""
+    """Returns, averages, volatility and channel of the adjusted close; null where history is too short or a denominator is 0. One sort."""
     w = Window.partitionBy("symbol").orderBy("ts")
     c = F.coalesce("adj_close", "close")
     rows = b.select("symbol", "ts", c.alias("c"), "volume", F.row_number().over(w).alias("n"))
-    rows = rows.withColumn("r", F.col("c") / F.lag("c").over(w) - 1)
+    rows = rows.withColumn("r", F.try_divide(F.col("c"), F.lag("c").over(w)) - 1)
     full = lambda n, x: F.when(F.col("n") >= n, x)
     return rows.select(
         "symbol", "ts", "c", F.col("r").alias("return_1d"),
-        (F.col("c") / F.lag("c", 5).over(w) - 1).alias("return_5d"), (F.col("c") / F.lag("c", 20).over(w) - 1).alias("return_20d"),
-        full(10, F.avg("c").over(trailing(10))).alias("sma_10"), full(50, F.avg("c").over(trailing(50))).alias("sma_50"),
+        (F.try_divide(F.col("c"), F.lag("c", 5).over(w)) - 1).alias("return_5d"), (F.try_divide(F.col("c"), F.lag("c", 20).over(w)) - 1).alias("return_20d"),
+        (F.try_divide(F.col("c"), F.lag("c", 20).over(w)) - 1).alias("momentum_20"),
+        full(10, F.avg("c").over(trailing(10))).alias("sma_10"), full(20, F.avg("c").over(trailing(20))).alias("sma_20"), full(50, F.avg("c").over(trailing(50))).alias("sma_50"),
         full(21, F.stddev_samp("r").over(trailing(20)) * F.sqrt(F.lit(252.0))).alias("realized_vol_20"),
-        full(20, F.col("volume") / F.avg("volume").over(trailing(20))).alias("volume_ratio"),
+        full(20, F.try_divide(F.col("volume"), F.avg("volume").over(trailing(20)))).alias("volume_ratio"),
         full(21, F.max("r").over(trailing(20))).alias("max_ret_1m"),
     )
 
@@ -61,7 +62,7 @@ def top_quantile(rows: DataFrame, score: str, share: float = 0.2, by: str = "ts"
 def drawdowns(b: DataFrame) -> DataFrame:
     """``symbol, max_drawdown`` of the adjusted close from its running peak."""
     peak = F.max("adj_close").over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    return b.select("symbol", (1 - F.col("adj_close") / peak).alias("dd")).groupBy("symbol").agg(F.max("dd").alias("max_drawdown"))
+    return b.select("symbol", (1 - F.try_divide(F.col("adj_close"), peak)).alias("dd")).groupBy("symbol").agg(F.max("dd").alias("max_drawdown"))
 
 
 def coverage(b: DataFrame) -> DataFrame:

@@ -21,9 +21,9 @@ def upsert(stored: DataFrame, batch: DataFrame, keys: tuple[str, ...] = ("symbol
 
 def restated(stored: DataFrame, fetched: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """``symbol, overlap, restated``: whether any overlapping bar's adjustment factor moved by more than ``tolerance``."""
-    factor = lambda name: (F.coalesce("adj_close", "close") / F.col("close")).alias(name)
+    factor = lambda name: F.try_divide(F.coalesce("adj_close", "close"), F.col("close")).alias(name)
     both = stored.select("symbol", "ts", factor("f0")).join(fetched.select("symbol", "ts", factor("f1")), ["symbol", "ts"])
-    moved = F.abs(F.col("f1") - F.col("f0")) / F.col("f0") > tolerance
+    moved = F.try_divide(F.abs(F.col("f1") - F.col("f0")), F.col("f0")) > tolerance
     return both.groupBy("symbol").agg(F.count("*").alias("overlap"), F.coalesce(F.bool_or(moved), F.lit(False)).alias("restated"))
 
 
@@ -33,7 +33,7 @@ def gaps(bars: DataFrame) -> DataFrame:
     A raw move is suspect at -45 % or below, or +80 % or above, else notable at -25 % or +50 %.
     """
     w = Window.partitionBy("symbol").orderBy("ts")
-    move = F.col("close") / F.lag("close").over(w) - 1
+    move = F.try_divide(F.col("close"), F.lag("close").over(w)) - 1
     rows = bars.select("symbol", "adj_close", move.alias("move"), F.datediff("ts", F.lag("ts").over(w)).alias("gap"))
     suspect, notable = (F.col("move") <= -0.45) | (F.col("move") >= 0.8), (F.col("move") <= -0.25) | (F.col("move") >= 0.5)
     return rows.groupBy("symbol").agg(
@@ -141,11 +141,16 @@ def tail_risk(returns: DataFrame, confidence: float = 0.95, least: int = 20) ->
 
 
 def psi(samples: DataFrame, bins: int = 10, eps: float = 1e-6) -> DataFrame:
-    """``feature, psi`` of ``feature, side ('ref' | 'cur'), value``: equal-width bins of the reference, open at both ends."""
+    """``feature, psi`` of ``feature, side ('ref' | 'cur'), value``: equal-width bins of the reference, open at both ends.
+
+    A constant reference fills a middle bin: what is below it falls into the first bin, what is above into the last.
+    """
     ref = samples.where("side = 'ref'").groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    at = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
+    spread = F.floor(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) * bins)
+    flat = F.when(F.col("value") < F.col("lo"), 0).when(F.col("value") > F.col("hi"), bins - 1).otherwise(bins // 2)
+    at = F.coalesce(spread, flat.cast("long"))
     binned = samples.join(ref, "feature")
-    binned = binned.where("value is not null and hi > lo").select("feature", "side", F.greatest(F.lit(0), F.least(F.lit(bins - 1), at)).alias("bin"))
+    binned = binned.where("value is not null").select("feature", "side", F.greatest(F.lit(0), F.least(F.lit(bins - 1), at)).alias("bin"))
     counts = binned.groupBy("feature", "bin").agg(F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c"))
     every = counts.select("feature").distinct().select("feature", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     counts = every.join(counts.withColumn("bin", F.col("bin").cast("long")), ["feature", "bin"], "left").na.fill(0, ["r", "c"])

@@ -25,7 +25,14 @@ def technical(spark, sf_dir):
 
 
 def recursive(spark, sf_dir):
-    return rounded(tech.recursive(_bars(spark, sf_dir)))
+    return rounded(tech.recursive(_bars(spark, sf_dir)).drop(*DIRECTIONAL))
+
+
+DIRECTIONAL = ("macd_signal", "macd_hist", "plus_di_14", "minus_di_14", "adx_14")
+
+
+def directional(spark, sf_dir):
+    return rounded(tech.recursive(_bars(spark, sf_dir)).select("symbol", "ts", *DIRECTIONAL))
 
 
 def triple_barrier(spark, sf_dir):
@@ -133,7 +140,7 @@ def signal_votes(spark, sf_dir):
 
 
 def queries():
-    made = [technical, recursive, triple_barrier, latest_bars, upsert, restatements, readback, benchmark, neutral, rank_ic, auc, tail_risk, drift, fundamentals_asof, macro_asof, status_changes, signal_votes]
+    made = [technical, recursive, directional, triple_barrier, latest_bars, upsert, restatements, readback, benchmark, neutral, rank_ic, auc, tail_risk, drift, fundamentals_asof, macro_asof, status_changes, signal_votes]
     return {q.__name__: q for q in made}
 
 
@@ -178,7 +185,7 @@ def _technical_sql() -> str:
         ("vwap_ratio_20", 20, f"c / ({over('sum(flow)', 20)} / {over('sum(v)', 20)})"),
         ("obv_slope_20", 20, f"{over('regr_slope(obv, n)', 20)} / av"), ("ad_slope_20", 20, f"{over('regr_slope(adl, n)', 20)} / av"),
         ("mfi_14", 21, "CASE WHEN down > 0 THEN 100 - 100 / (1 + up / down) WHEN up > 0 THEN 100 END"),
-        ("aroon_up_25", 26, "100.0::DOUBLE * (list_position(hs, list_max(hs)) - 1) / 25"), ("aroon_down_25", 26, "100.0::DOUBLE * (list_position(ls, list_min(ls)) - 1) / 25"),
+        ("aroon_up_25", 26, "100.0::DOUBLE * (list_position(hs, list_max(hs)) - 1) / 25"), ("aroon_down_25", 26, "100.0::DOUBLE * (list_position(ls, list_min(ls)) - 1) / 25"), ("aroon_osc_25", 26, "100.0::DOUBLE * (list_position(hs, list_max(hs)) - list_position(ls, list_min(ls))) / 25"),
     ]:
         gates.append(f"round(CASE WHEN n >= {least} THEN {x} END, 6) AS {name}")
     return f"{first} SELECT symbol, ts, {', '.join(gates)} FROM p WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
@@ -199,8 +206,32 @@ def _recursive_sql() -> str:
         round(CASE WHEN n >= 20 AND atr > 0 THEN (c - mid) / (2 * atr) END, 6) AS keltner_pos_20 FROM k"""
 
 
+def _directional_sql() -> str:
+    wilder = lambda x: f"(CASE WHEN a.k < 14 THEN a.{x} + x.{x} ELSE a.{x} * 13 / 14 + x.{x} END)"
+    smooth = lambda x, n: f"(CASE WHEN a.k < {n} THEN a.{x} + x.c / {n} ELSE a.{x} * (1 - 2::DOUBLE / {n + 1}) + x.c * 2 / {n + 1} END)"
+    ps, ms = wilder("ps"), wilder("ms")
+    known = f"(a.k >= 13 AND {ps} + {ms} > 0)"
+    dx = f"100 * abs({ps} - {ms}) / ({ps} + {ms})"
+    moves = f"""{{'k': a.k + 1, 'tr': {wilder('tr')}, 'ps': {ps}, 'ms': {ms}, 'dn': a.dn + CASE WHEN {known} THEN 1 ELSE 0 END,
+        'adx': CASE WHEN {known} THEN CASE WHEN a.dn < 14 THEN a.adx + {dx} / 14 ELSE (a.adx * 13 + {dx}) / 14 END ELSE a.adx END}}"""
+    m = f"({smooth('e', 12)} - {smooth('f', 26)})"
+    lines = f"""{{'k': a.k + 1, 'c': x.c, 'e': {smooth('e', 12)}, 'f': {smooth('f', 26)}, 'm': {m},
+        's': CASE WHEN a.k < 25 THEN 0 WHEN a.k < 34 THEN a.s + {m} / 9 ELSE a.s * 0.8::DOUBLE + {m} * 0.2::DOUBLE END}}"""
+    return f"""{ADJUSTED}, d AS (SELECT *, lag(c) OVER w AS p, h - lag(h) OVER w AS upm, lag(l) OVER w - l AS dnm FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+      g AS (SELECT symbol, ts, n,
+        list({{'k': 0, 'tr': greatest(h - l, abs(h - p), abs(l - p)), 'ps': CASE WHEN upm > dnm AND upm > 0 THEN upm ELSE 0::DOUBLE END,
+          'ms': CASE WHEN dnm > upm AND dnm > 0 THEN dnm ELSE 0::DOUBLE END, 'dn': 0, 'adx': 0::DOUBLE}}) FILTER (p IS NOT NULL) OVER (w ROWS 298 PRECEDING) AS mv,
+        list({{'k': 0, 'c': c, 'e': 0::DOUBLE, 'f': 0::DOUBLE, 'm': 0::DOUBLE, 's': 0::DOUBLE}}) OVER (w ROWS 299 PRECEDING) AS cs FROM d WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+      z AS (SELECT symbol, ts, n, list_reduce(mv, lambda a, x: {moves}, {{'k': 0, 'tr': 0::DOUBLE, 'ps': 0::DOUBLE, 'ms': 0::DOUBLE, 'dn': 0, 'adx': 0::DOUBLE}}) AS v,
+        list_reduce(cs, lambda a, x: {lines}, {{'k': 0, 'c': 0::DOUBLE, 'e': 0::DOUBLE, 'f': 0::DOUBLE, 'm': 0::DOUBLE, 's': 0::DOUBLE}}) AS u FROM g)
+      SELECT symbol, ts, round(CASE WHEN n >= 34 THEN u.s END, 6) AS macd_signal, round(CASE WHEN n >= 34 THEN u.m - u.s END, 6) AS macd_hist,
+        round(CASE WHEN n >= 29 AND v.dn >= 14 THEN 100 * v.ps / v.tr END, 6) AS plus_di_14, round(CASE WHEN n >= 29 AND v.dn >= 14 THEN 100 * v.ms / v.tr END, 6) AS minus_di_14,
+        round(CASE WHEN n >= 29 AND v.dn >= 14 THEN v.adx END, 6) AS adx_14 FROM z"""
+
+
 def oracle_sql():
     return {
+        "directional": _directional_sql(),
         "technical": _technical_sql(),
         "recursive": _recursive_sql(),
         "triple_barrier": ADJUSTED + f""", g AS (SELECT *, CASE WHEN n > 20 THEN stddev_samp(lr) OVER (w ROWS 19 PRECEDING) END AS sigma,
@@ -235,8 +266,8 @@ def oracle_sql():
             SELECT symbol, max(n) AS n, round(greatest(-max(ret), 0), 6) AS var, round(greatest(-avg(ret), 0), 6) AS cvar FROM d
             WHERE n >= 20 AND k <= greatest(ceil(round(0.05::DOUBLE * n, 9)), 1) GROUP BY 1""",
         "drift": """WITH s AS (SELECT event_type AS feature, day(ts) <= 15 AS ref, value FROM events WHERE value IS NOT NULL),
-            r AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM s WHERE ref GROUP BY 1 HAVING min(value) < max(value)),
-            k AS (SELECT feature, ref, greatest(0, least(9, floor((value - lo) / (hi - lo) * 10))) AS bin FROM s JOIN r USING (feature)),
+            r AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM s WHERE ref GROUP BY 1),
+            k AS (SELECT feature, ref, greatest(0, least(9, CASE WHEN hi > lo THEN floor((value - lo) / (hi - lo) * 10) WHEN value < lo THEN 0 WHEN value > hi THEN 9 ELSE 5 END)) AS bin FROM s JOIN r USING (feature)),
             g AS (SELECT feature, i AS bin FROM r, range(10) t(i)),
             c AS (SELECT g.feature, g.bin, count(*) FILTER (ref) AS r, count(*) FILTER (NOT ref) AS c FROM g LEFT JOIN k ON g.feature = k.feature AND g.bin = k.bin GROUP BY 1, 2),
             p AS (SELECT feature, (r + 1e-6) / (sum(r) OVER w + 1e-5) AS p, (c + 1e-6) / (sum(c) OVER w + 1e-5) AS q FROM c WINDOW w AS (PARTITION BY feature))

@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from tessera.operators import market
 
 
-def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return market.bars(read("lineitem"), read("part"))
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def _bars(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
+    """The bars of a folder, built once a session: they are kept on the executors (on disk where memory ends) and built anew where one is lost."""
+    key = (spark.sparkContext.applicationId, sf_dir, unit)
+    if key not in _KEPT:
+        read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        _KEPT[key] = market.bars(read("lineitem"), read("part"), unit).persist()
+    return _KEPT[key]
 
 
 def bars(spark, sf_dir):
@@ -55,8 +62,8 @@ BARS = """WITH t AS (SELECT p_brand AS symbol, date_trunc('week', l_shipdate)::T
 FEATURES = BARS + """,
   r AS (SELECT symbol, ts, adj_close AS c, volume, row_number() OVER w AS n, adj_close / lag(adj_close) OVER w - 1 AS r
     FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-  f AS (SELECT symbol, ts, c, r AS return_1d, c / lag(c, 5) OVER w - 1 AS return_5d, c / lag(c, 20) OVER w - 1 AS return_20d,
-    CASE WHEN n >= 10 THEN avg(c) OVER (w ROWS 9 PRECEDING) END AS sma_10, CASE WHEN n >= 50 THEN avg(c) OVER (w ROWS 49 PRECEDING) END AS sma_50,
+  f AS (SELECT symbol, ts, c, r AS return_1d, c / lag(c, 5) OVER w - 1 AS return_5d, c / lag(c, 20) OVER w - 1 AS return_20d, c / lag(c, 20) OVER w - 1 AS momentum_20,
+    CASE WHEN n >= 10 THEN avg(c) OVER (w ROWS 9 PRECEDING) END AS sma_10, CASE WHEN n >= 20 THEN avg(c) OVER (w ROWS 19 PRECEDING) END AS sma_20, CASE WHEN n >= 50 THEN avg(c) OVER (w ROWS 49 PRECEDING) END AS sma_50,
     CASE WHEN n >= 21 THEN stddev_samp(r) OVER (w ROWS 19 PRECEDING) * sqrt(252.0) END AS realized_vol_20,
     CASE WHEN n >= 20 THEN volume / avg(volume) OVER (w ROWS 19 PRECEDING) END AS volume_ratio,
     CASE WHEN n >= 21 THEN max(r) OVER (w ROWS 19 PRECEDING) END AS max_ret_1m
