@@ -4,13 +4,13 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
-from tessera.operators import panel_queries
+from tessera.operators import ledger_queries, panel_queries, study_queries
 from tessera.operators import queries as market_queries
 
 TOLERANCE = 2e-6  # results are rounded to 6 digits
 SF = "/root/testdata/sf0.01"
-QUERIES = market_queries.queries() | panel_queries.queries()
-SQL = market_queries.oracle_sql() | panel_queries.oracle_sql()
+QUERIES = market_queries.queries() | panel_queries.queries() | study_queries.queries() | ledger_queries.queries()
+SQL = market_queries.oracle_sql() | panel_queries.oracle_sql() | study_queries.oracle_sql() | ledger_queries.oracle_sql()
 
 
 @pytest.fixture(scope="session")
@@ -18,15 +18,15 @@ def spark():
     return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) & set(SQL)))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "part", "orders", "events"):
+    for t in ("lineitem", "part", "orders", "events", "supplier", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(SQL[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got)
-    keys = [c for c in ("symbol", "ts", "user_id", "event_id", "series", "day", "feature") if c in got.columns]
+    keys = [c for c in ("symbol", "ts", "user_id", "event_id", "series", "day", "feature", "rule", "n", "fold", "split", "role", "a", "b", "aum", "period_end", "order_id", "source", "cik") if c in got.columns]
     got, want = (x.sort_values(keys).reset_index(drop=True)[sorted(x.columns)] for x in (got, want))
     assert len(got) == len(want)
     for c in got.columns:
