@@ -5,7 +5,6 @@ import re
 
 import public_tokenizers
 import pytest
-from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, lines, minhash, mixing, neighbours, pii, quality, tokens, toxicity, warc
@@ -23,11 +22,6 @@ TEXTS = [
 SCHEMA = "doc_id long, text string, lang string, source string, n_words long, kept boolean, size long, word string, key string"
 
 
-@pytest.fixture(scope="session")
-def spark():
-    return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-
-
 def docs(spark, rows=TEXTS):
     made = [(i, t, None if i == 4 else "en", None if i == 7 else f"s{i % 2}", 7, False, 1, "w", "k") for i, t in rows]
     return spark.createDataFrame([*made, (None, "no id", "en", "s0", 1, True, 1, "w", "k")] if rows else [], SCHEMA)

@@ -2,8 +2,6 @@
 
 from collections import Counter
 
-import pytest
-from pyspark.sql import SparkSession
 
 import corpus_pipeline
 from tessera.llm import mixing, stages
@@ -11,11 +9,6 @@ from tessera.llm import mixing, stages
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long"
 
 
-@pytest.fixture(scope="session")
-def spark():
-    return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-
-
 def prose(i, n=40):
     return " ".join(f"w{i}x{k}" for k in range(n))
 

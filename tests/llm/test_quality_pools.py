@@ -1,16 +1,10 @@
 """Outliers of tables and of groups too small for an estimate of their own."""
 
 import pytest
-from pyspark.sql import SparkSession
 
 from tessera.llm import quality
 
 
-@pytest.fixture(scope="session")
-def spark():
-    return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-
-
 def prose(i):
     return " ".join(f"word{i}x{k}" for k in range(60 + i % 17))
 

@@ -1,17 +1,11 @@
 """Shards of the WARC writer when ids are far from evenly spread."""
 
 import pytest
-from pyspark.sql import SparkSession
 
 from tessera.llm import warc
 from tessera.llm.common import new_path
 
 
-@pytest.fixture(scope="session")
-def spark():
-    return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-
-
 @pytest.mark.parametrize("far", [[2**40], [-(2**63), 2**63 - 1], [-5, 10**6, 10**6 + 1, 10**12], []])
 def test_far_ids_leave_the_others_in_many_shards(spark, monkeypatch, far):
     monkeypatch.setattr(warc, "SHARD_BYTES", 1000)
