@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import dataset as training
 from tessera.operators import market, panel, strategy, study, universe
 from tessera.operators import technical as tech
 from tessera.operators.panel_queries import ADJUSTED, HORIZON, SCORED, _directional_sql, _read, _recursive_sql, _technical_sql, filings, rounded
@@ -194,8 +195,27 @@ def regimes(spark, sf_dir):
     return rounded(rows.select("*", strategy.exposure_cap(F.col("regime")).alias("exposure_cap"), strategy.sector_allowed(F.col("regime"), F.lit("Information Technology")).alias("tech_allowed")))
 
 
+RAW = ["return_5d", "return_20d", "realized_vol_20", "volume_ratio"]
+RANKS = [*RAW, "net_margin", "roa", "leverage", "gross_profitability", "asset_growth"]
+
+
+def _dataset(spark, sf_dir):
+    rows = market.features(_bars(spark, sf_dir)).withColumn("sector", F.regexp_extract("symbol", "[0-9]+", 0).cast("int") % 6)
+    labels = _excess(spark, sf_dir)
+    weights = study.uniqueness(labels.where("touch is not null").select("symbol", "n", "touch"))
+    return training.build(rows, RAW, filings(spark, sf_dir), labels, weights, _macro(spark, sf_dir).withColumn("regime", strategy.regime()))
+
+
+def dataset(spark, sf_dir):
+    return rounded(_dataset(spark, sf_dir))
+
+
+def data_contract(spark, sf_dir):
+    return rounded(training.contract(_dataset(spark, sf_dir), RANKS))
+
+
 def queries():
-    made = [rules, gated, crossover_book, excess_barrier, uniqueness, label_profile, walk_forward, combinatorial, tranche_book, book_performance, selection_quality, feature_evidence, deflated, pair_correlations, effective_samples, universe_members, universe_churn, universe_sessions, survivorship, fetch_plan, trading_costs, capacity, f_scores, regimes]
+    made = [dataset, data_contract, rules, gated, crossover_book, excess_barrier, uniqueness, label_profile, walk_forward, combinatorial, tranche_book, book_performance, selection_quality, feature_evidence, deflated, pair_correlations, effective_samples, universe_members, universe_churn, universe_sessions, survivorship, fetch_plan, trading_costs, capacity, f_scores, regimes]
     return {q.__name__: q for q in made}
 
 
@@ -267,7 +287,40 @@ def _evidence_sql() -> str:
       SELECT feature, n, round(mean, 6) AS mean, round(sqrt(s) / n, 6) AS se, round(mean / (sqrt(s) / n), 6) AS t FROM sm"""
 
 
+def _dataset_sql(known: dict[str, str]) -> str:
+    def neutral(name: str, k: int) -> str:
+        return f"""n{k} AS (SELECT * REPLACE ({name} - CASE WHEN count({name}) OVER w >= 4 THEN median({name}) OVER w ELSE 0 END AS {name}) FROM (SELECT * REPLACE (CASE WHEN count({name}) OVER (PARTITION BY ts, sector) >= 4 THEN sector END AS grp) FROM n{k - 1}) WINDOW w AS (PARTITION BY ts, grp))"""
+
+    def rank(name: str) -> str:
+        return f"""coalesce(CASE WHEN {name} IS NULL THEN NULL WHEN count({name}) OVER (PARTITION BY ts) = 1 THEN 0.5 ELSE (rank() OVER (PARTITION BY ts, {name} IS NULL ORDER BY {name}) - 1
+          + (count(*) OVER (PARTITION BY ts, {name}) - 1) / 2.0) / (count({name}) OVER (PARTITION BY ts) - 1) END, 0.5)::DOUBLE AS {name}"""
+
+    chain = ", ".join(neutral(name, k) for k, name in enumerate(RANKS, 1))
+    hot = ", ".join(f"coalesce(regime = '{r}', false)::INTEGER::DOUBLE AS regime_{r}" for r in strategy.EXPOSURE)
+    return f"""WITH ft AS ({FEATURES} SELECT * FROM f), lb AS ({known['excess_barrier']}), un AS ({known['uniqueness'].replace('round(avg(1.0::DOUBLE / k), 6)', 'avg(1.0::DOUBLE / k)')}), rg AS ({known['regimes']}),
+      fi AS (SELECT p_brand AS symbol, (date_trunc('quarter', l_shipdate) + INTERVAL 3 MONTH)::DATE AS period_end, sum(l_extendedprice) AS revenue, sum(l_extendedprice * (1 - l_discount)) * 0.6::DOUBLE AS cost, sum(l_extendedprice * l_tax) * 2 AS income,
+        sum(l_quantity) * 1000 AS assets, sum(l_extendedprice * l_discount) * 4 AS debt FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+      fd AS (SELECT *, lag(assets) OVER (PARTITION BY symbol ORDER BY period_end) AS was, (period_end + (20 + regexp_extract(symbol, '[0-9]+')::INTEGER))::TIMESTAMP AS filed_at FROM fi WHERE regexp_extract(symbol, '[0-9]+')::INTEGER % 11 <> 0),
+      n0 AS (SELECT ft.symbol, ft.ts, regexp_extract(ft.symbol, '[0-9]+')::INTEGER % 6 AS sector, NULL::INTEGER AS grp, fd.symbol IS NOT NULL AS has_filing, {', '.join(RAW)}, income / nullif(revenue, 0) AS net_margin, income / nullif(assets, 0) AS roa,
+        debt / nullif(assets, 0) AS leverage, (revenue - cost) / nullif(assets, 0) AS gross_profitability, assets / nullif(was, 0) - 1 AS asset_growth FROM ft ASOF LEFT JOIN fd ON ft.symbol = fd.symbol AND ft.ts > fd.filed_at), {chain},
+      rk AS (SELECT symbol, ts, has_filing, {', '.join(rank(name) for name in RANKS)} FROM n{len(RANKS)}),
+      jn AS (SELECT rk.*, lb.label, un.weight FROM rk JOIN lb ON rk.symbol = lb.symbol AND rk.ts = lb.ts AND lb.label IS NOT NULL JOIN un ON un.symbol = lb.symbol AND un.n = lb.n QUALIFY count(*) OVER (PARTITION BY rk.ts) >= 10),
+      ds AS (SELECT jn.*, {hot} FROM jn ASOF LEFT JOIN (SELECT day::TIMESTAMP AS day, regime FROM rg WHERE regime IS NOT NULL) m ON jn.ts >= m.day)"""
+
+
 def oracle_sql():
+    known = _oracle_sql()
+    made = _dataset_sql(known)
+    rounds = ", ".join(f"round({c}, 6) AS {c}" for c in [*RANKS, "weight"])
+    flat = " + ".join(f"(coalesce(var_pop({c}), 0) = 0)::INTEGER" for c in RANKS)
+    return known | {
+        "dataset": f"{made} SELECT * REPLACE ({rounds}) FROM ds",
+        "data_contract": f"""{made}, wd AS (SELECT ts, count(*) AS m FROM ds GROUP BY 1) SELECT count(*) AS samples, round(avg(label), 6) AS positive_rate, round(sum(weight), 6) AS effective_rows, ({flat})::INTEGER AS constant_features,
+            count(*) FILTER (NOT ({' AND '.join(f'{c} BETWEEN 0 AND 1' for c in RANKS)})) AS out_of_range, (SELECT count(*) FROM wd) AS sessions, (SELECT median(m) FROM wd) AS median_names, (SELECT min(m) FROM wd) AS least_names FROM ds""",
+    }
+
+
+def _oracle_sql():
     gates = """CASE WHEN day(ts) / 150.0::DOUBLE >= 0.15::DOUBLE THEN 'drawdown' WHEN month(ts) / 240.0::DOUBLE >= 0.05::DOUBLE THEN 'daily_loss' WHEN confidence < 0.55::DOUBLE THEN 'confidence'
         WHEN br / 60.0::DOUBLE >= 0.8::DOUBLE THEN 'exposure' WHEN br % 4 >= 3 THEN 'sector' WHEN stop IS NULL THEN 'missing_stop' ELSE 'approved' END"""
     return {
