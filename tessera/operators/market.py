@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
-def bars(lineitem: DataFrame, part: DataFrame, unit: str = "week") -> DataFrame:
+def bars(lineitem: DataFrame, part: DataFrame, unit: str = "day") -> DataFrame:
     """``symbol, ts, open, high, low, close, volume, adj_close``: one partial aggregate, one exchange. A quantity of 0 gives no price."""
     rows = lineitem.join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol")), "l_partkey")
     px = F.try_divide("l_extendedprice", "l_quantity")

@@ -9,7 +9,7 @@ from tessera.operators import market, panel
 from tessera.operators import technical as tech
 from tessera.operators.queries import BARS, _bars
 
-HORIZON = 13  # weekly bars in a quarter
+HORIZON = 63  # daily bars in a quarter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from tessera.operators import market
 _KEPT: dict[tuple, DataFrame] = {}
 
 
-def _bars(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
+def _bars(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame:
     """The bars of a folder, built once a session: they are kept on the executors (on disk where memory ends) and built anew where one is lost."""
     key = (spark.sparkContext.applicationId, sf_dir, unit)
     if key not in _KEPT:
@@ -54,7 +54,7 @@ def queries():
     return {"bars": bars, "features": features, "ranked": ranked, "selection": selection, "drawdown": drawdown, "coverage": coverage, "crossover": crossover}
 
 
-BARS = """WITH t AS (SELECT p_brand AS symbol, date_trunc('week', l_shipdate)::TIMESTAMP AS ts, l_extendedprice / l_quantity AS px,
+BARS = """WITH t AS (SELECT p_brand AS symbol, date_trunc('day', l_shipdate)::TIMESTAMP AS ts, l_extendedprice / l_quantity AS px,
     (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, l_quantity, l_discount
     FROM lineitem JOIN part ON l_partkey = p_partkey),
   b AS (SELECT symbol, ts, arg_min(px, k) AS open, max(px) AS high, min(px) AS low, arg_max(px, k) AS close,

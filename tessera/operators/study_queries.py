@@ -222,7 +222,7 @@ def queries():
 VECTORS = f"""WITH ft AS ({FEATURES} SELECT * FROM f), th AS ({_technical_sql()}), rc AS ({_recursive_sql()}), dr AS ({_directional_sql()}), rw AS ({BARS} SELECT symbol, ts, close FROM b),
   mr AS (SELECT *, CASE WHEN momentum_20 IS NULL THEN NULL WHEN count(momentum_20) OVER (PARTITION BY ts) = 1 THEN 0.5
     ELSE (rank() OVER (PARTITION BY ts, momentum_20 IS NULL ORDER BY momentum_20) - 1 + (count(*) OVER (PARTITION BY ts, momentum_20) - 1) / 2.0) / (count(momentum_20) OVER (PARTITION BY ts) - 1) END::DOUBLE AS mrank FROM ft),
-  v AS (SELECT mr.* REPLACE (round(return_20d, 6) AS return_20d, round(sma_20, 6) AS sma_20, round(sma_50, 6) AS sma_50, round(mrank, 6) AS mrank, round(c, 6) AS c), bb_pct_b, donchian_pos_20, ema_12, ema_26, rsi_14, atr_pct_14, macd_hist, close
+  v AS (SELECT mr.* REPLACE (round(return_1d, 6) AS return_1d, round(return_20d, 6) AS return_20d, round(sma_20, 6) AS sma_20, round(sma_50, 6) AS sma_50, round(mrank, 6) AS mrank, round(c, 6) AS c), bb_pct_b, donchian_pos_20, ema_12, ema_26, rsi_14, atr_pct_14, macd_hist, close
     FROM mr JOIN th USING (symbol, ts) JOIN rc USING (symbol, ts) JOIN dr USING (symbol, ts) JOIN rw USING (symbol, ts))"""
 SIGNALS = VECTORS + """,
   e AS (SELECT *, ema_12 / CASE WHEN ema_26 > 0 THEN ema_26 END - 1 AS fast, sma_20 / CASE WHEN sma_50 > 0 THEN sma_50 END - 1 AS slow, macd_hist / CASE WHEN c > 0 THEN c END AS line FROM v),
