@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
@@ -134,7 +134,12 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def encode(docs: DataFrame, path: str, specials_are_text: bool = False, most_words: int = MOST_WORDS, least_seen: int = LEAST_SEEN) -> DataFrame:
-    """``doc_id, ids array<int>`` for ``doc_id, text``: the ids of every text.
+    """``doc_id, ids array<int>`` for ``doc_id, text``: the ids of every text, as :func:`encode_blocks` makes them."""
+    return encode_blocks(docs, path, specials_are_text, most_words, least_seen).select(F.inline("docs"))
+
+
+def encode_blocks(docs: DataFrame, path: str, specials_are_text: bool = False, most_words: int = MOST_WORDS, least_seen: int = LEAST_SEEN) -> DataFrame:
+    """``docs array<struct<doc_id, ids array<int>>>`` for ``doc_id, text``: blocks of documents with the ids of their texts.
 
     Null and empty texts have no ids. Repeated rows give as many rows. A null doc_id is left out.
     ``specials_are_text``: the strings of special tokens in a text are ordinary text.
@@ -221,7 +226,8 @@ def encode(docs: DataFrame, path: str, specials_are_text: bool = False, most_wor
                 cut += n
             ends = np.cumsum([0, *map(len, out)]) // 4
             flat = pa.array(np.frombuffer(b"".join(out), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "ids"])
+            each = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), each)], ["docs"])
 
         for batch in batches:
             for _, bucket, data, ids, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -242,7 +248,7 @@ def encode(docs: DataFrame, path: str, specials_are_text: bool = False, most_wor
     replies = asked.repartition("bucket").mapInArrow(once, "block long, bucket int, data binary")
     none = {"ids": F.lit(None).cast("array<long>"), "lengths": F.lit(None).cast("array<int>")}
     rows = made.select("block", F.lit(-1).alias("bucket"), F.col("words").alias("data"), "ids", "lengths").unionByName(replies.withColumns(none))
-    return rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(joined, "doc_id long, ids array<int>")
+    return rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(joined, "docs array<struct<doc_id: bigint, ids: array<int>>>")
 
 
 def _split(numbers: np.ndarray) -> list[np.ndarray]:
@@ -259,19 +265,33 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece string")
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with ``text``: each id's piece, joined by one space, as a tokenizer without a decoder does it.
+def with_pieces(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` joined to ``__pieces``, the table of pieces laid out by id in one row, which the vocabulary bounds and which is broadcast.
 
-    The table of pieces, which the vocabulary bounds, is laid out by id in one row and joined to every text as a broadcast, so ids
-    meet their pieces where the text is and no position travels.
+    Ids meet their pieces where the text is and no position travels. Each of ``rows`` gets its own copy, so these should be blocks.
     """
     row = F.transform(F.sort_array(F.collect_list(F.struct("id", "piece"))), lambda p: p["piece"]).alias("__pieces")
-    laid = pieces(encoded.sparkSession, path).agg(row)
-    met = encoded.join(F.broadcast(laid))  # one row
-    return met.withColumn("text", F.array_join(F.transform("ids", lambda i: F.get("__pieces", i)), " ")).drop("__pieces")
+    return rows.join(F.broadcast(pieces(rows.sparkSession, path).agg(row)))  # one row
+
+
+def _text(ids: Column) -> Column:
+    """Each id's piece, joined by one space, as a tokenizer without a decoder does it."""
+    return F.array_join(F.transform(ids, lambda i: F.get("__pieces", i)), " ")
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``doc_id, ids, text`` of the blocks that :func:`encode_blocks` makes."""
+    each = F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), d["ids"].alias("ids"), _text(d["ids"]).alias("text")))
+    return with_pieces(encoded, path).select(each.alias("docs")).select(F.inline("docs"))
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: ids in decimal joined by one space, and the text of :func:`decode`."""
-    numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decode(encoded, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the blocks: ids in decimal joined by one space, and the text of :func:`decode`."""
+
+    def of(d: Column) -> Column:
+        numbers = F.array_join(d["ids"].cast("array<string>"), " ")
+        return F.struct(
+            d["doc_id"].alias("doc_id"), F.size(d["ids"]).cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2(_text(d["ids"]), 256).alias("decoded_sha256")
+        )
+
+    return with_pieces(encoded, path).select(F.transform("docs", of).alias("docs")).select(F.inline("docs"))

@@ -44,7 +44,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("word_bpe_49k.json")
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return bpe.digests(bpe.encode_blocks(table(spark, sf_dir, "documents"), path), path)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,4 +49,4 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row."""
     path = vocabulary("word_bpe_49k.json")
-    return bpe.digests(bpe.encode(docs, path), path)
+    return bpe.digests(bpe.encode_blocks(docs, path), path)

@@ -34,7 +34,7 @@ def by_id(df):
 def test_bpe_equals_the_tokenizer_with_and_without_a_frequent_table(spark):
     made = Tokenizer.from_file(PATH)
     for most, seen in ((1 << 18, 2), (4, 1), (0, 1)):
-        got = by_id(bpe.digests(bpe.encode(docs(spark), PATH, most_words=most, least_seen=seen), PATH))
+        got = by_id(bpe.digests(bpe.encode_blocks(docs(spark), PATH, most_words=most, least_seen=seen), PATH))
         assert sorted(got) == [i for i, _ in TEXTS]
         for i, text in TEXTS:
             ids = made.encode(text or "", add_special_tokens=False).ids
@@ -79,7 +79,7 @@ def test_mix(spark):
 
 
 def test_token_counts(spark):
-    want = {i: r["n_tokens"] for i, r in by_id(bpe.digests(bpe.encode(docs(spark), PATH, specials_are_text=True), PATH)).items()}
+    want = {i: r["n_tokens"] for i, r in by_id(bpe.digests(bpe.encode_blocks(docs(spark), PATH, specials_are_text=True), PATH)).items()}
     folder = new_path(spark, "tokens")
     files, order = tokens.write(docs(spark), folder, PATH, 49407)
     got = tokens.scan(files, folder, 49407, block=1000).join(order, ["file", "at"])  # texts span blocks
