@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import ledger, market, panel, strategy, study
+from tessera.operators import ledger, market, monitor, panel, strategy, study
 from tessera.operators import technical as tech
 from tessera.sources import payloads
 from tessera.streaming import streams
@@ -108,3 +108,24 @@ def test_breaker_stream_equals_the_batch_form(spark, tmp_path):
     batch = ledger.breaker(spark.createDataFrame(rows, schema), "account", 100.0)
     want = panel.changes(batch.select("account", "ts", "level"), "level", "account", ["ts"]).where("not (before is null and level = 'NONE')")
     assert sorted((r["ts"], r["level"]) for r in got.collect()) == sorted((r["ts"], r["level"]) for r in want.collect())
+
+
+def test_alerts_of_five_kinds(spark):
+    at = day(0)
+    made = monitor.breaker_alerts(spark.createDataFrame([(at, "BLACK", "drawdown", 0.16, 0.15, "flatten")], "ts timestamp, level string, metric string, value double, threshold double, action string"))
+    made = made.unionByName(monitor.fill_alerts(spark.createDataFrame([(at, "A", 10.0, 2.5, 7)], "ts timestamp, symbol string, quantity double, price double, order_id long")))
+    made = made.unionByName(monitor.drift_alerts(spark.createDataFrame([(at, "m", "feature", "odd", "retrain")], "ts timestamp, model_id string, drift_type string, severity string, action string")))
+    made = made.unionByName(monitor.status_alerts(spark.createDataFrame([(at, "s", "active", "probation", "low_pf", None)], "ts timestamp, strategy string, old_status string, new_status string, reason string, sharpe double")))
+    made = made.unionByName(monitor.revalidation_alerts(spark.createDataFrame([(at, "s", 1.0, 0.9, 0.1, "active")], "ts timestamp, strategy string, original double, current double, degradation double, status string")))
+    got = {(r["severity"], r["message"]) for r in made.collect()}
+    assert got == {
+        ("critical", "drawdown=16.00% (threshold 15.00%) → flatten"), ("info", "10 @ 2.50 (order 7)"), ("warning", "Recommended action: retrain"),
+        ("warning", "reason: low_pf (sharpe_90d n/a)"), ("info", "OOS Sharpe 0.90 vs 1.00 (degradation 10%)"),
+    }
+    assert monitor.at_least(made, "critical").count() == 1
+
+
+def test_regime_components(spark):
+    rows = spark.createDataFrame([("crisis",), ("slowdown",), (None,), ("recovery",)], "regime string")
+    got = [r["c"] for r in rows.select(monitor.regime_component(F.col("regime")).alias("c")).collect()]
+    assert [c and (c["signal"], c["confidence"]) for c in got] == [("SELL", 0.6), None, None, ("BUY", 0.3)]
