@@ -1,4 +1,4 @@
-"""Structured Streaming forms: messages once, orders once a session, the circuit breaker as keyed state."""
+"""Structured Streaming forms: messages once, orders once a session, the circuit breaker and protective exits as keyed state, liquidations."""
 
 from __future__ import annotations
 
@@ -50,3 +50,42 @@ def breaker_changes(equity: DataFrame, start: float) -> DataFrame:
     return equity.groupBy("account").applyInPandasWithState(
         step, "account string, ts timestamp, level string", "peak double, black boolean, day string, first double, halted string, level string", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def protective_exits(feed: DataFrame) -> DataFrame:
+    """``symbol, ts, quantity, price, reason``: the sale of a whole position at its first mark at or beyond the stop or the target.
+
+    ``feed`` is one stream of ``symbol, ts, kind, price, quantity, stop, target``: ``open`` sets a symbol's position and levels (the last one counts, none or a level of null protects nothing),
+    ``mark`` tells its price. Rows of a batch are taken by time, an opening before a mark of the same time. State is one position a symbol; it goes with the exit.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        quantity, stop, target = state.get if state.exists else (0.0, float("nan"), float("nan"))
+        out = []
+        rows = pd.concat(list(batches)).sort_values(["ts", "kind"], ascending=[True, False])
+        for ts, kind, price, *opened in rows[["ts", "kind", "price", "quantity", "stop", "target"]].astype({c: "float64" for c in ("price", "quantity", "stop", "target")}).itertuples(index=False, name=None):
+            if kind == "open":
+                quantity, stop, target = opened
+            elif quantity > 0 and (price <= stop or price >= target):  # a missing level is NaN and compares false
+                out.append((key[0], ts, quantity, price, "stop" if price <= stop else "target"))
+                quantity, stop, target = 0.0, float("nan"), float("nan")
+        if quantity > 0:
+            state.update((quantity, stop, target))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["symbol", "ts", "quantity", "price", "reason"])
+
+    rows = feed.where("symbol is not null and ts is not null and kind in ('open', 'mark')")
+    return rows.groupBy("symbol").applyInPandasWithState(
+        step, "symbol string, ts timestamp, quantity double, price double, reason string", "quantity double, stop double, target double", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def liquidations(changes: DataFrame, positions: DataFrame) -> DataFrame:
+    """``account, ts, symbol, side, quantity, price, reason``: the sale of each open position of ``account, symbol, quantity, last_price`` when the account's breaker turns BLACK.
+
+    ``changes`` is the stream of :func:`breaker_changes`. Positions are a table, read anew by each batch; those without quantity or price stay out.
+    """
+    held = positions.where("quantity > 0 and last_price > 0").select("account", "symbol", F.col("quantity").cast("double").alias("quantity"), F.col("last_price").alias("price"))
+    sold = changes.where("level = 'BLACK'").join(held, "account")
+    return sold.select("account", "ts", "symbol", F.lit("SELL").alias("side"), "quantity", "price", F.lit("BLACK").alias("reason"))

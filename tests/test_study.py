@@ -129,3 +129,24 @@ def test_regime_components(spark):
     rows = spark.createDataFrame([("crisis",), ("slowdown",), (None,), ("recovery",)], "regime string")
     got = [r["c"] for r in rows.select(monitor.regime_component(F.col("regime")).alias("c")).collect()]
     assert [c and (c["signal"], c["confidence"]) for c in got] == [("SELL", 0.6), None, None, ("BUY", 0.3)]
+
+
+def test_protective_exits_over_restarts(spark, tmp_path):
+    rows = [
+        ("A", day(0), "open", None, 5.0, 90.0, 110.0), ("A", day(1), "mark", 95.0, None, None, None), ("B", day(0), "open", None, 2.0, None, 20.0), ("B", day(1), "mark", 1.0, None, None, None),
+        ("C", day(1), "mark", 1.0, None, None, None), (None, day(1), "mark", 1.0, None, None, None),
+        ("A", day(2), "mark", 90.0, None, None, None), ("A", day(3), "mark", 80.0, None, None, None), ("B", day(3), "mark", 25.0, None, None, None), ("A", day(4), "open", None, 1.0, 70.0, None), ("A", day(4), "mark", 60.0, None, None, None),
+        ("C", day(5), "open", None, 0.0, 90.0, 110.0), ("C", day(6), "mark", 50.0, None, None, None),
+    ]
+    schema = "symbol string, ts timestamp, kind string, price double, quantity double, stop double, target double"
+    got = run_stream(spark, tmp_path, "exits", rows, schema, streams.protective_exits)
+    assert sorted((r["symbol"], r["ts"], r["quantity"], r["price"], r["reason"]) for r in got.collect()) == [
+        ("A", day(2), 5.0, 90.0, "stop"), ("A", day(4), 1.0, 60.0, "stop"), ("B", day(3), 2.0, 25.0, "target"),
+    ]
+
+
+def test_black_sells_the_account(spark, tmp_path):
+    rows = [("a", day(0), "RED"), ("a", day(1), "BLACK"), ("b", day(1), "YELLOW"), ("c", day(2), "BLACK")]
+    held = spark.createDataFrame([("a", "X", 3.0, 10.0), ("a", "Y", 0.0, 10.0), ("a", "Z", 1.0, None), ("b", "X", 3.0, 10.0)], "account string, symbol string, quantity double, last_price double")
+    got = run_stream(spark, tmp_path, "sales", rows, "account string, ts timestamp, level string", lambda s: streams.liquidations(s, held))
+    assert [(r["account"], r["ts"], r["symbol"], r["side"], r["quantity"], r["price"]) for r in got.collect()] == [("a", day(1), "X", "SELL", 3.0, 10.0)]
