@@ -9,14 +9,18 @@ ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "
 
 
 def bars(lineitem: DataFrame, part: DataFrame, unit: str = "day") -> DataFrame:
-    """``symbol, ts, open, high, low, close, volume, adj_close``: one partial aggregate, one exchange. A quantity of 0 gives no price."""
+    """``symbol, ts, open, high, low, close, volume, adj_close``: one partial aggregate, one exchange. A quantity of 0 gives no price.
+
+    Quantities and discounts are added up as whole millionths, so that the order in which rows arrive leaves no trace in the bars.
+    """
     rows = lineitem.join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol")), "l_partkey")
     px = F.try_divide("l_extendedprice", "l_quantity")
     key = F.struct(*ORDER)
+    whole = lambda c: F.round(F.col(c) * 1000000).cast("long")
     rows = rows.select("symbol", F.date_trunc(unit, "l_shipdate").alias("ts"), px.alias("px"), key.alias("k"), "l_quantity", "l_discount")
     out = rows.groupBy("symbol", "ts").agg(
         F.min_by("px", "k").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "k").alias("close"),
-        F.sum("l_quantity").cast("double").alias("volume"), F.avg("l_discount").alias("d"),
+        (F.sum(whole("l_quantity")) / 1e6).alias("volume"), (F.sum(whole("l_discount")) / 1e6 / F.count("l_discount")).alias("d"),
     )
     return out.withColumn("adj_close", F.col("close") * (1 - F.col("d"))).drop("d")
 

@@ -20,6 +20,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def unrounded(sql: str) -> str:
+    """A twin whose doubles are as they are: each ``round(x, 6)`` becomes ``(x)``."""
+    while (at := sql.find("round(")) >= 0:
+        depth, end = 1, at + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[at + 6 : end - 1]
+        sql = f"{sql[:at]}({inner.removesuffix(', 6')}){sql[end:]}" if inner.endswith(", 6") else f"{sql[:at]}ROUND({inner}){sql[end:]}"
+    return sql
+
+
 def technical(spark, sf_dir):
     return rounded(tech.technical(_bars(spark, sf_dir)))
 

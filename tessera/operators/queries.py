@@ -58,7 +58,8 @@ BARS = """WITH t AS (SELECT p_brand AS symbol, date_trunc('day', l_shipdate)::TI
     (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, l_quantity, l_discount
     FROM lineitem JOIN part ON l_partkey = p_partkey),
   b AS (SELECT symbol, ts, arg_min(px, k) AS open, max(px) AS high, min(px) AS low, arg_max(px, k) AS close,
-    sum(l_quantity)::DOUBLE AS volume, arg_max(px, k) * (1 - avg(l_discount)) AS adj_close FROM t GROUP BY 1, 2)"""
+    sum(round(l_quantity * 1000000)::BIGINT)::DOUBLE / 1000000::DOUBLE AS volume,
+    arg_max(px, k) * (1 - sum(round(l_discount * 1000000)::BIGINT)::DOUBLE / 1000000::DOUBLE / count(l_discount)) AS adj_close FROM t GROUP BY 1, 2)"""
 FEATURES = BARS + """,
   r AS (SELECT symbol, ts, adj_close AS c, volume, row_number() OVER w AS n, adj_close / lag(adj_close) OVER w - 1 AS r
     FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts)),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators import dataset as training
 from tessera.operators import market, panel, strategy, study, universe
 from tessera.operators import technical as tech
-from tessera.operators.panel_queries import ADJUSTED, HORIZON, SCORED, _directional_sql, _read, _recursive_sql, _technical_sql, filings, rounded
+from tessera.operators.panel_queries import ADJUSTED, HORIZON, SCORED, _directional_sql, _read, _recursive_sql, _technical_sql, filings, rounded, unrounded
 from tessera.operators.queries import BARS, FEATURES, _bars
 
 LAGS, TRIALS, SLEEVES, BOOKS = 4, 20, 4, (1e4, 1e6)
@@ -21,7 +21,7 @@ def vectors(spark, sf_dir) -> DataFrame:
     b = _bars(spark, sf_dir)
     keys = ["symbol", "ts"]
     out = market.features(b).withColumn("momentum_rank", market.percentile_rank("momentum_20"))
-    return rounded(out.join(tech.technical(b), keys).join(tech.recursive(b), keys)).join(b.select(*keys, "close"), keys)
+    return out.join(tech.technical(b), keys).join(tech.recursive(b), keys).join(b.select(*keys, "close"), keys)
 
 
 def rules(spark, sf_dir):
@@ -54,12 +54,15 @@ def crossover_book(spark, sf_dir):
     rows = pos.join(v.select("symbol", "ts", "return_1d"), ["symbol", "ts"]).select("symbol", "ts", F.lag("position").over(w).alias("p"), F.lag("position", 2, 0).over(w).alias("q"), "return_1d")
     rows = rows.where("p is not null and return_1d is not null").withColumn("turn", F.abs(F.col("p") - F.col("q")))
     rows = rows.withColumn("r", F.col("p") * F.col("return_1d") - F.col("turn") * 0.001)
-    equity = F.exp(F.sum(F.log1p("r")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("equity", equity).withColumn("peak", F.greatest(F.lit(1.0), F.max(equity).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    return rounded(rows.groupBy("symbol").agg(
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    factor = 1 + F.col("r")  # a day may lose more than everything: the product keeps its sign
+    sign = F.when(F.max(factor == 0).over(run), 0).when(F.sum((factor < 0).cast("int")).over(run) % 2 == 1, -1).otherwise(1)
+    rows = rows.withColumn("equity", sign * F.exp(F.sum(F.when(factor != 0, F.log(F.abs(factor)))).over(run)))
+    rows = rows.withColumn("peak", F.max("equity").over(run))
+    return rows.groupBy("symbol").agg(
         F.max_by("equity", "ts").alias("growth"), F.coalesce(F.try_divide(F.avg("r"), F.stddev_samp("r")) * math.sqrt(252.0), F.lit(0.0)).alias("sharpe"),
-        F.max(1 - F.col("equity") / F.col("peak")).alias("max_drawdown"), F.count_if(F.col("turn") > 0).alias("trades"), F.count("*").alias("bars"),
-    ))
+        F.max(F.when(F.col("peak") > 0, 1 - F.col("equity") / F.col("peak"))).alias("max_drawdown"), F.count_if(F.col("turn") > 0).alias("trades"), F.count("*").alias("bars"),
+    )
 
 
 def _excess(spark, sf_dir):
@@ -73,7 +76,7 @@ def excess_barrier(spark, sf_dir):
 
 
 def uniqueness(spark, sf_dir):
-    return rounded(study.uniqueness(_excess(spark, sf_dir).where("touch is not null").select("symbol", "n", "touch")))
+    return study.uniqueness(_excess(spark, sf_dir).where("touch is not null").select("symbol", "n", "touch"))
 
 
 def label_profile(spark, sf_dir):
@@ -207,7 +210,7 @@ def _dataset(spark, sf_dir):
 
 
 def dataset(spark, sf_dir):
-    return rounded(_dataset(spark, sf_dir))
+    return _dataset(spark, sf_dir)
 
 
 def data_contract(spark, sf_dir):
@@ -219,10 +222,10 @@ def queries():
     return {q.__name__: q for q in made}
 
 
-VECTORS = f"""WITH ft AS ({FEATURES} SELECT * FROM f), th AS ({_technical_sql()}), rc AS ({_recursive_sql()}), dr AS ({_directional_sql()}), rw AS ({BARS} SELECT symbol, ts, close FROM b),
+VECTORS = f"""WITH ft AS ({FEATURES} SELECT * FROM f), th AS ({unrounded(_technical_sql())}), rc AS ({unrounded(_recursive_sql())}), dr AS ({unrounded(_directional_sql())}), rw AS ({BARS} SELECT symbol, ts, close FROM b),
   mr AS (SELECT *, CASE WHEN momentum_20 IS NULL THEN NULL WHEN count(momentum_20) OVER (PARTITION BY ts) = 1 THEN 0.5
     ELSE (rank() OVER (PARTITION BY ts, momentum_20 IS NULL ORDER BY momentum_20) - 1 + (count(*) OVER (PARTITION BY ts, momentum_20) - 1) / 2.0) / (count(momentum_20) OVER (PARTITION BY ts) - 1) END::DOUBLE AS mrank FROM ft),
-  v AS (SELECT mr.* REPLACE (round(return_1d, 6) AS return_1d, round(return_20d, 6) AS return_20d, round(sma_20, 6) AS sma_20, round(sma_50, 6) AS sma_50, round(mrank, 6) AS mrank, round(c, 6) AS c), bb_pct_b, donchian_pos_20, ema_12, ema_26, rsi_14, atr_pct_14, macd_hist, close
+  v AS (SELECT mr.*, bb_pct_b, donchian_pos_20, ema_12, ema_26, rsi_14, atr_pct_14, macd_hist, close
     FROM mr JOIN th USING (symbol, ts) JOIN rc USING (symbol, ts) JOIN dr USING (symbol, ts) JOIN rw USING (symbol, ts))"""
 SIGNALS = VECTORS + """,
   e AS (SELECT *, ema_12 / CASE WHEN ema_26 > 0 THEN ema_26 END - 1 AS fast, sma_20 / CASE WHEN sma_50 > 0 THEN sma_50 END - 1 AS slow, macd_hist / CASE WHEN c > 0 THEN c END AS line FROM v),
@@ -297,7 +300,7 @@ def _dataset_sql(known: dict[str, str]) -> str:
 
     chain = ", ".join(neutral(name, k) for k, name in enumerate(RANKS, 1))
     hot = ", ".join(f"coalesce(regime = '{r}', false)::INTEGER::DOUBLE AS regime_{r}" for r in strategy.EXPOSURE)
-    return f"""WITH ft AS ({FEATURES} SELECT * FROM f), lb AS ({known['excess_barrier']}), un AS ({known['uniqueness'].replace('round(avg(1.0::DOUBLE / k), 6)', 'avg(1.0::DOUBLE / k)')}), rg AS ({known['regimes']}),
+    return f"""WITH ft AS ({FEATURES} SELECT * FROM f), lb AS ({known['excess_barrier']}), un AS ({known['uniqueness']}), rg AS ({known['regimes']}),
       fi AS (SELECT p_brand AS symbol, (date_trunc('quarter', l_shipdate) + INTERVAL 3 MONTH)::DATE AS period_end, sum(l_extendedprice) AS revenue, sum(l_extendedprice * (1 - l_discount)) * 0.6::DOUBLE AS cost, sum(l_extendedprice * l_tax) * 2 AS income,
         sum(l_quantity) * 1000 AS assets, sum(l_extendedprice * l_discount) * 4 AS debt FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
       fd AS (SELECT *, lag(assets) OVER (PARTITION BY symbol ORDER BY period_end) AS was, (period_end + (20 + regexp_extract(symbol, '[0-9]+')::INTEGER))::TIMESTAMP AS filed_at FROM fi WHERE regexp_extract(symbol, '[0-9]+')::INTEGER % 11 <> 0),
@@ -311,10 +314,9 @@ def _dataset_sql(known: dict[str, str]) -> str:
 def oracle_sql():
     known = _oracle_sql()
     made = _dataset_sql(known)
-    rounds = ", ".join(f"round({c}, 6) AS {c}" for c in [*RANKS, "weight"])
     flat = " + ".join(f"(coalesce(var_pop({c}), 0) = 0)::INTEGER" for c in RANKS)
     return known | {
-        "dataset": f"{made} SELECT * REPLACE ({rounds}) FROM ds",
+        "dataset": f"{made} SELECT * FROM ds",
         "data_contract": f"""{made}, wd AS (SELECT ts, count(*) AS m FROM ds GROUP BY 1) SELECT count(*) AS samples, round(avg(label), 6) AS positive_rate, round(sum(weight), 6) AS effective_rows, ({flat})::INTEGER AS constant_features,
             count(*) FILTER (NOT ({' AND '.join(f'{c} BETWEEN 0 AND 1' for c in RANKS)})) AS out_of_range, (SELECT count(*) FROM wd) AS sessions, (SELECT median(m) FROM wd) AS median_names, (SELECT min(m) FROM wd) AS least_names FROM ds""",
     }
@@ -331,14 +333,15 @@ def _oracle_sql():
             SELECT symbol, ts, rule, signal, round(confidence, 6) AS confidence, reason, 48.0::DOUBLE * CASE br % 4 WHEN 0 THEN 1 WHEN 1 THEN 1.5 WHEN 2 THEN 2.5 ELSE 5 END AS edge_bps,
               round(w * least(1, 0.8::DOUBLE / nullif(sum(w) OVER (PARTITION BY ts), 0)), 6) AS weight, coalesce(least(floor(1e6 * budget / nullif(abs(entry - stop), 0)), floor(1e6 * 0.05::DOUBLE / entry)), 0)::BIGINT AS shares FROM g2""",
         "crossover_book": SIGNALS + """, h1 AS (SELECT symbol, ts, coalesce(last_value(CASE signal WHEN 'BUY' THEN 1 WHEN 'SELL' THEN 0 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS pos FROM sg WHERE rule = 'sma_ema_crossover'),
-            h2 AS (SELECT h1.symbol, h1.ts, lag(pos) OVER w AS p, lag(pos, 2, 0) OVER w AS q, round(return_1d, 6) AS r1 FROM h1 JOIN v USING (symbol, ts) WINDOW w AS (PARTITION BY h1.symbol ORDER BY h1.ts)),
+            h2 AS (SELECT h1.symbol, h1.ts, lag(pos) OVER w AS p, lag(pos, 2, 0) OVER w AS q, return_1d AS r1 FROM h1 JOIN v USING (symbol, ts) WINDOW w AS (PARTITION BY h1.symbol ORDER BY h1.ts)),
             h3 AS (SELECT symbol, ts, abs(p - q) AS turn, p * r1 - abs(p - q) * 0.001::DOUBLE AS r FROM h2 WHERE p IS NOT NULL AND r1 IS NOT NULL),
-            h4 AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS eq FROM h3),
-            h5 AS (SELECT *, greatest(1, max(eq) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS peak FROM h4)
-            SELECT symbol, round(arg_max(eq, ts), 6) AS growth, round(coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 0), 6) AS sharpe, round(max(1 - eq / peak), 6) AS max_drawdown, count(*) FILTER (turn > 0) AS trades, count(*) AS bars FROM h5 GROUP BY 1""",
+            h4 AS (SELECT *, CASE WHEN max((1 + r = 0)::INTEGER) OVER w = 1 THEN 0 WHEN sum((1 + r < 0)::INTEGER) OVER w % 2 = 1 THEN -1 ELSE 1 END * exp(sum(ln(nullif(abs(1 + r), 0))) OVER w) AS eq FROM h3
+              WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+            h5 AS (SELECT *, max(eq) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak FROM h4)
+            SELECT symbol, arg_max(eq, ts) AS growth, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 0) AS sharpe, max(CASE WHEN peak > 0 THEN 1 - eq / peak END) AS max_drawdown, count(*) FILTER (turn > 0) AS trades, count(*) AS bars FROM h5 GROUP BY 1""",
         "excess_barrier": LABELS + " SELECT * FROM lb",
         "uniqueness": LABELS + """, sp AS (SELECT symbol, n, touch FROM lb WHERE touch IS NOT NULL), op AS (SELECT symbol, n AS s, unnest(range(n, touch + 1)) AS sess FROM sp),
-            cc AS (SELECT symbol, sess, count(*) AS k FROM op GROUP BY 1, 2) SELECT symbol, s AS n, round(avg(1.0::DOUBLE / k), 6) AS weight FROM op JOIN cc USING (symbol, sess) GROUP BY 1, 2""",
+            cc AS (SELECT symbol, sess, count(*) AS k FROM op GROUP BY 1, 2) SELECT symbol, s AS n, avg(1.0::DOUBLE / k) AS weight FROM op JOIN cc USING (symbol, sess) GROUP BY 1, 2""",
         "label_profile": LABELS + """ SELECT symbol, count(*) AS labels, round(avg((barrier = 'lower')::INTEGER), 6) AS lower_share, round(avg((barrier = 'upper')::INTEGER), 6) AS upper_share,
             round(avg((barrier = 'vertical')::INTEGER), 6) AS vertical_share, round(avg(label), 6) AS positive_rate FROM lb WHERE barrier IS NOT NULL GROUP BY 1""",
         "walk_forward": BARS + f""", x AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT ts FROM b)),
