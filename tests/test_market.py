@@ -4,13 +4,13 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
-from tessera.operators import gate_queries, ledger_queries, panel_queries, research_queries, study_queries
+from tessera.operators import gate_queries, ledger_queries, model_queries, panel_queries, research_queries, study_queries
 from tessera.operators import queries as market_queries
 
 TOLERANCE = 2e-6  # results are rounded to 6 digits
 SF = "/root/testdata/sf0.01"
-QUERIES = market_queries.queries() | panel_queries.queries() | study_queries.queries() | ledger_queries.queries() | research_queries.queries() | gate_queries.queries()
-SQL = market_queries.oracle_sql() | panel_queries.oracle_sql() | study_queries.oracle_sql() | ledger_queries.oracle_sql() | research_queries.oracle_sql() | gate_queries.oracle_sql()
+QUERIES = market_queries.queries() | panel_queries.queries() | study_queries.queries() | ledger_queries.queries() | research_queries.queries() | gate_queries.queries() | model_queries.queries()
+SQL = market_queries.oracle_sql() | panel_queries.oracle_sql() | study_queries.oracle_sql() | ledger_queries.oracle_sql() | research_queries.oracle_sql() | gate_queries.oracle_sql() | model_queries.oracle_sql()
 
 
 @pytest.fixture(scope="session")
