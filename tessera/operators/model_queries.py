@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import decisions as desk
 from tessera.operators import importance as imp
-from tessera.operators import market
+from tessera.operators import market, strategy
+from tessera.operators.panel_queries import _read
 from tessera.operators.queries import FEATURES, _bars
 
 NAMES = ["return_5d", "return_20d", "realized_vol_20", "volume_ratio", "noise"]
@@ -43,8 +45,34 @@ def capacity_probe(spark, sf_dir):
     return imp.capacity(imp.scorecards(runs, NAMES, CELLS))
 
 
+JOIN_HOURS, TTL_HOURS = 6, 48
+
+
+def decision_feed(spark, sf_dir) -> DataFrame:
+    """Events as components: purchases are model votes, errors now and then the regime, others three strategies' signals with their levels."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    signal = F.when(k % 3 == 0, "BUY").when(k % 3 == 1, "SELL").otherwise("HOLD")
+    rows = _read(spark, sf_dir, "events").select((F.col("user_id") % 100).cast("string").alias("symbol"), "event_id", "event_type", "ts", "value", signal.alias("signal"))
+    level = lambda x: F.when(kind != "purchase", F.col("value") * x)
+    parts = rows.where("event_type <> 'error' and symbol is not null").select("symbol", "ts", F.when(kind == "purchase", "ml").otherwise("strategy").alias("kind"), kind.alias("source"), "signal", (k % 100 / 100).alias("confidence"), level(1.0).alias("price"), level(0.9).alias("stop"), level(1.2).alias("target"))
+    regimes = rows.where("event_type = 'error' and event_id % 25 = 0").select("ts", F.element_at(F.array(*[F.lit(r) for r in REGIMES]), (k / 25 % 6 + 1).cast("int")).alias("regime"))
+    return desk.fanned(parts, regimes, parts)
+
+
+REGIMES = ("expansion", "recovery", "slowdown", "contraction", "crisis", "unheard-of")
+SOURCES = {"strategy:click": 0.3, "strategy:view": 0.2, "ml": 0.4}
+
+
+def coalesced_decisions(spark, sf_dir):
+    """One decision of a symbol six hours after its first component, from those of two days; sectors by name."""
+    weights = spark.createDataFrame(list(SOURCES.items()), "source string, weight double")
+    feed = decision_feed(spark, sf_dir)
+    sectors = feed.select("symbol").distinct().where("symbol % 7 <> 0").select("symbol", F.concat(F.lit("sector "), F.col("symbol").cast("int") % 5).alias("sector"))
+    return desk.decided(desk.coalesced(feed, JOIN_HOURS * 3600, TTL_HOURS * 3600), weights, sectors)
+
+
 def queries():
-    made = [permutation_importance, permutation_null, capacity_probe]
+    made = [coalesced_decisions, permutation_importance, permutation_null, capacity_probe]
     return {q.__name__: q for q in made}
 
 
@@ -131,5 +159,36 @@ def _capacity_sql() -> str:
         CASE WHEN auc_real - auc_control >= 0.05 AND margin > 0 THEN 'structure' WHEN auc_real - auc_control >= 0.05 THEN 'inconclusive' ELSE 'none' END AS verdict FROM cp"""
 
 
+def _decisions_sql() -> str:
+    bias = {"expansion": ("BUY", 0.5), "recovery": ("BUY", 0.3), "contraction": ("SELL", 0.3), "crisis": ("SELL", 0.6)}
+    said = "CASE regime " + " ".join(f"WHEN '{r}' THEN '{s}'" for r, (s, _) in bias.items()) + " END"
+    sure = "CASE regime " + " ".join(f"WHEN '{r}' THEN {c}::DOUBLE" for r, (_, c) in bias.items()) + " END"
+    regime = "CASE (event_id // 25) % 6 " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(REGIMES)) + " END"
+    weight = "CASE source " + " ".join(f"WHEN '{s}' THEN {w}::DOUBLE" for s, w in SOURCES.items()) + f" ELSE 1.0::DOUBLE / {len(SOURCES)} END"
+    return f"""WITH RECURSIVE ev AS (SELECT *, (user_id % 100)::VARCHAR AS symbol FROM events WHERE ts IS NOT NULL),
+      pa AS (SELECT symbol, ts, CASE event_type WHEN 'purchase' THEN 'ml' ELSE 'strategy' END AS kind, event_type AS name, CASE event_id % 3 WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' ELSE 'HOLD' END AS signal, (event_id % 100) / 100.0::DOUBLE AS confidence,
+        CASE WHEN event_type <> 'purchase' THEN value END AS price, CASE WHEN event_type <> 'purchase' THEN value * 0.9::DOUBLE END AS stop, CASE WHEN event_type <> 'purchase' THEN value * 1.2::DOUBLE END AS target
+        FROM ev WHERE event_type <> 'error' AND symbol IS NOT NULL),
+      rg AS (SELECT ts, {said} AS signal, {sure} AS confidence FROM (SELECT ts, {regime} AS regime FROM ev WHERE event_type = 'error' AND event_id % 25 = 0)),
+      sy AS (SELECT DISTINCT symbol FROM pa),
+      tr AS (SELECT DISTINCT symbol, ts FROM pa UNION SELECT DISTINCT sy.symbol, rg.ts FROM sy, rg WHERE EXISTS (SELECT 1 FROM pa WHERE pa.symbol = sy.symbol AND kind = 'strategy' AND pa.ts <= rg.ts AND pa.ts >= rg.ts - INTERVAL {TTL_HOURS} HOURS)),
+      du AS (SELECT symbol, min(ts) + INTERVAL {JOIN_HOURS} HOURS AS due FROM tr GROUP BY 1
+        UNION ALL SELECT du.symbol, min(tr.ts) + INTERVAL {JOIN_HOURS} HOURS FROM du JOIN tr ON tr.symbol = du.symbol AND tr.ts > du.due GROUP BY du.symbol, du.due),
+      st AS (SELECT du.symbol, due, pa.name, arg_max((signal, confidence, price, stop, target), (pa.ts, signal, confidence, price, stop, target)) AS v FROM du JOIN pa ON pa.symbol = du.symbol AND kind = 'strategy' AND pa.ts <= due AND pa.ts >= due - INTERVAL {TTL_HOURS} HOURS GROUP BY 1, 2, 3),
+      ml AS (SELECT du.symbol, due, arg_max((signal, confidence), (pa.ts, signal, confidence)) AS v FROM du JOIN pa ON pa.symbol = du.symbol AND kind = 'ml' AND pa.ts <= due AND pa.ts >= due - INTERVAL {TTL_HOURS} HOURS GROUP BY 1, 2),
+      ma AS (SELECT symbol, due, signal, confidence FROM du ASOF JOIN rg ON rg.ts <= due WHERE signal IS NOT NULL),
+      lv AS (SELECT symbol, due, 'strategy:' || name AS source, name AS strategy, 0 AS o, v[1] AS signal, v[2] AS confidence, v[3] AS price, v[4] AS stop, v[5] AS target FROM st
+        UNION ALL SELECT symbol, due, 'ml', NULL, 1, v[1], v[2], NULL, NULL, NULL FROM ml SEMI JOIN st USING (symbol, due)
+        UNION ALL SELECT symbol, due, 'macro', NULL, 2, signal, confidence, NULL, NULL, NULL FROM ma SEMI JOIN st USING (symbol, due)),
+      wt AS (SELECT *, {weight} AS w, CASE signal WHEN 'BUY' THEN confidence WHEN 'SELL' THEN -confidence ELSE 0 END AS s FROM lv),
+      sc AS (SELECT symbol, due, round(sum(w * s) / sum(w), 9) AS score, string_agg(source, ',' ORDER BY o, strategy) AS sources FROM wt GROUP BY 1, 2),
+      vo AS (SELECT *, CASE WHEN score >= 0.2::DOUBLE THEN 'BUY' WHEN score <= -0.2::DOUBLE THEN 'SELL' ELSE 'HOLD' END AS v, least(abs(score), 1) AS c FROM sc),
+      ct AS (SELECT *, v <> 'HOLD' AND c * {desk.EDGE_BPS} < {2 * strategy.LEG_BPS * strategy.EDGE_MULTIPLE} AS cf FROM vo),
+      fs AS (SELECT *, CASE WHEN cf THEN 'HOLD' ELSE v END AS final FROM ct),
+      be AS (SELECT fs.symbol, fs.due, arg_min((strategy, price, stop, target), (-confidence, strategy)) AS b FROM fs JOIN lv ON lv.symbol = fs.symbol AND lv.due = fs.due AND lv.strategy IS NOT NULL AND lv.signal = final AND final <> 'HOLD' GROUP BY 1, 2)
+      SELECT fs.symbol, fs.due AS decided_at, final AS signal, c AS confidence, score, cf AS cost_filtered, sources, b[2] AS price, b[3] AS stop, b[4] AS target, b[1] AS strategy, final <> 'HOLD' AND b IS NULL AS levels_missing,
+        CASE WHEN fs.symbol::INTEGER % 7 <> 0 THEN 'sector ' || fs.symbol::INTEGER % 5 END AS sector FROM fs LEFT JOIN be ON be.symbol = fs.symbol AND be.due = fs.due"""
+
+
 def oracle_sql():
-    return {"permutation_importance": _importance_sql(), "permutation_null": _null_sql(), "capacity_probe": _capacity_sql()}
+    return {"coalesced_decisions": _decisions_sql(), "permutation_importance": _importance_sql(), "permutation_null": _null_sql(), "capacity_probe": _capacity_sql()}
