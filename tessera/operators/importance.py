@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.panel import average_rank
+from tessera.operators.panel import average_rank, correlation
 from tessera.operators.research import evidence, forward_returns, session_ics
 
 #: Families of features by concept, and by prefix of their names.
@@ -105,7 +105,7 @@ def neighbours(rows: DataFrame, names: list[str], blocks: Mapping[str, list[str]
     ranks = long.join(F.broadcast(lower), ["feature", "__part"]).withColumn("rank", F.col("__lower") + average_rank("x", ["feature", "__part"]))  # a row for each part
     wide = ranks.groupBy("ts", "symbol").agg(*[F.max(F.when(F.col("feature") == n, F.col("rank"))).alias(n) for n in names])
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    cell = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.nanvl(F.abs(F.corr(a, b)), F.lit(0.0)), F.lit(0.0)).alias("c"))
+    cell = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.nanvl(F.abs(correlation(a, b)), F.lit(0.0)), F.lit(0.0)).alias("c"))
     table = wide.agg(F.array(*[cell(a, b) for a, b in pairs]).alias("t")).select(F.explode("t").alias("t")).select("t.*")  # one row for each pair of features
     both = table.unionByName(table.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
     inside = rows.sparkSession.createDataFrame([(b, m) for b, members in blocks.items() for m in members], "block string, a string")
@@ -127,7 +127,7 @@ def importance(rows: DataFrame, names: list[str], score: Column, blocks: Mapping
     every = base.unionByName(shuffled(rows, blocks, repeats, seed)).select("block", "repeat", "ts", "next_return", "y", score.alias("p"))
     keys = ["block", "repeat", "ts"]
     ranks = every.select(*keys, average_rank("p", keys).alias("a"), average_rank("next_return", keys).alias("b"))
-    ic = F.coalesce(F.nanvl(F.corr("a", "b"), F.lit(0.0)), F.lit(0.0))
+    ic = F.coalesce(F.nanvl(correlation("a", "b"), F.lit(0.0)), F.lit(0.0))
     series = ranks.groupBy(*keys).agg(ic.alias("ic")).groupBy("block", "ts").agg(F.avg("ic").alias("ic"))
     of_base = F.max(F.when(F.col("block") == "", F.col("ic"))).over(Window.partitionBy("ts"))
     drop = series.withColumn("d", of_base - F.col("ic")).where("block <> ''")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.operators import decisions as desk
 from tessera.operators import importance as imp
-from tessera.operators import market, strategy
-from tessera.operators.panel_queries import _read
-from tessera.operators.queries import FEATURES, _bars
+from tessera.operators import market, outcomes, panel, paths, strategy, study, sync
+from tessera.operators import technical as tech
+from tessera.operators.panel_queries import HORIZON, _read
+from tessera.operators.queries import BARS, FEATURES, _bars
+from tessera.operators.study_queries import LABELS
 
 NAMES = ["return_5d", "return_20d", "realized_vol_20", "volume_ratio", "noise"]
 WEIGHTS = [0.4, -0.3, 0.2, 0.1, 0.05]
@@ -71,8 +73,73 @@ def coalesced_decisions(spark, sf_dir):
     return desk.decided(desk.coalesced(feed, JOIN_HOURS * 3600, TTL_HOURS * 3600), weights, sectors)
 
 
+NOW = "1998-06-01 00:00:00"
+
+
+def _outcomes(spark, sf_dir) -> DataFrame:
+    """Votes of the strongest and weakest names by five-day return, told some days after their bar, as they stand at NOW."""
+    now = F.lit(NOW).cast("timestamp")
+    b = _bars(spark, sf_dir).where(F.col("ts") <= now)
+    k = F.regexp_extract("symbol", "[0-9]+", 0).cast("int")
+    p = market.features(b).withColumn("p", market.percentile_rank("return_5d")).where("p >= 0.7 or p <= 0.3")
+    votes = p.select(F.lit("m@v1").alias("model_id"), "symbol", (F.col("ts") + F.make_dt_interval(k % 3, F.lit(15), F.lit(0), F.lit(0))).alias("at"), F.when(F.col("p") >= 0.7, "BUY").otherwise("SELL").alias("signal"))
+    adjusted = tech.adjusted(b)
+    bars = adjusted.select("symbol", "ts", "c", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")).alias("n"))
+    labels = study.excess_barrier(study.on_benchmark(adjusted, panel.benchmark(b)), HORIZON)
+    return outcomes.outcomes(votes, bars, labels, now, HORIZON)
+
+
+def vote_outcomes(spark, sf_dir):
+    return _outcomes(spark, sf_dir)
+
+
+def vote_metrics(spark, sf_dir):
+    return outcomes.measured(_outcomes(spark, sf_dir), F.lit(NOW).cast("timestamp"), 365, HORIZON)
+
+
+def sync_summary(spark, sf_dir):
+    """A store that ends in March 1998, two vendors that have landed the rest: restated names, new ones, a broken and a failed one."""
+    b = _bars(spark, sf_dir)
+    k = F.regexp_extract("symbol", "[0-9]+", 0).cast("int")
+    stored = b.where((F.col("ts") < "1998-03-01") & (k != 55))
+    factor = F.when(k % 10 == 1, 0.5).otherwise(1.0)
+    first = b.where(k % 2 == 1).withColumn("adj_close", F.col("adj_close") * factor).withColumn("close", F.when(k == 13, -1.0).otherwise(F.col("close"))).withColumn("priority", F.lit(1)).withColumn("seq", F.lit(1))
+    second = b.where(k >= 20).withColumn("priority", F.lit(2)).withColumn("seq", F.lit(1))
+    names = b.select("symbol").distinct()
+    failures = names.where(k == 24).select("symbol", F.lit("timeout").alias("error"))
+    every = names.unionByName(_read(spark, sf_dir, "supplier").select(F.col("s_name").alias("symbol")))
+    return sync.sync(every, stored, first.unionByName(second), failures, F.lit("1998-08-01").cast("timestamp"), 365 * 2, 10)[1]
+
+
+GROUPS, TESTS = 6, 2
+
+
+def cpcv_paths(spark, sf_dir):
+    """A rule fitted to the training sessions of each split (each feature weighs its mean rank correlation), tested along every path: what each path earns a session."""
+    rows = _ranked(spark, sf_dir).select("symbol", "ts", "next_return", "return_5d", "realized_vol_20")
+    tested = paths.splits(spark, GROUPS, TESTS)
+    roles = study.combinatorial(rows, GROUPS, TESTS, 5, 1)
+    long = rows.select("symbol", "ts", "next_return", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("x")) for n in ("return_5d", "realized_vol_20")])).alias("f")).select("symbol", "ts", "next_return", "f.*")
+    keys = ["feature", "ts"]
+    ranks = long.select(*keys, panel.average_rank("x", keys).alias("a"), panel.average_rank("next_return", keys).alias("b"))
+    ics = ranks.groupBy(*keys).agg(panel.correlation("a", "b").alias("ic")).where("ic is not null and not isnan(ic)")
+    train = roles.where("role = 'train'").select("split", "ts")
+    fitted = ics.join(F.broadcast(train), "ts").groupBy("split", "feature").agg(F.avg("ic").alias("w"))
+    wide = fitted.groupBy("split").agg(F.coalesce(F.max(F.when(F.col("feature") == "return_5d", F.col("w"))), F.lit(0.0)).alias("w1"), F.coalesce(F.max(F.when(F.col("feature") == "realized_vol_20", F.col("w"))), F.lit(0.0)).alias("w2"))
+    of_path = paths.paths(tested).join(F.broadcast(wide), "split").join(F.broadcast(paths.blocks(rows, GROUPS).select("ts", "group")), "group")  # paths times sessions
+    scored = rows.join(of_path, "ts").withColumn("p", F.col("w1") * F.col("return_5d") + F.col("w2") * F.col("realized_vol_20"))
+    w = Window.partitionBy("path", "ts")
+    best = scored.withColumn("k", F.row_number().over(w.orderBy(F.desc(F.round("p", 9)), "symbol"))).withColumn("m", F.count("*").over(w)).where(F.col("k") <= F.greatest(F.lit(1), F.ceil(F.col("m") * 0.2)))
+    daily = best.groupBy("path", "ts").agg(F.avg("next_return").alias("r"))
+    return daily.groupBy("path").agg(F.count("*").alias("sessions"), F.avg("r").alias("mean_return"), F.coalesce(F.try_divide(F.avg("r"), F.stddev_samp("r")) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("sharpe"))
+
+
+def path_dispersion(spark, sf_dir):
+    return paths.dispersion(cpcv_paths(spark, sf_dir), "sharpe")
+
+
 def queries():
-    made = [coalesced_decisions, permutation_importance, permutation_null, capacity_probe]
+    made = [vote_outcomes, vote_metrics, sync_summary, cpcv_paths, path_dispersion, coalesced_decisions, permutation_importance, permutation_null, capacity_probe]
     return {q.__name__: q for q in made}
 
 
@@ -190,5 +257,56 @@ def _decisions_sql() -> str:
         CASE WHEN fs.symbol::INTEGER % 7 <> 0 THEN 'sector ' || fs.symbol::INTEGER % 5 END AS sector FROM fs LEFT JOIN be ON be.symbol = fs.symbol AND be.due = fs.due"""
 
 
+def _outcomes_sql() -> str:
+    known = LABELS.replace("ON l_partkey = p_partkey)", f"ON l_partkey = p_partkey WHERE l_shipdate::DATE <= TIMESTAMP '{NOW}')", 1)
+    k = "regexp_extract(symbol, '[0-9]+')::INTEGER"
+    return known + f""", vr AS (SELECT symbol, ts, c, n, c / lag(c, 5) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r5 FROM n),
+      vp AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY ts) = 1 THEN 0.5 ELSE (rank() OVER (PARTITION BY ts ORDER BY r5) - 1 + (count(*) OVER (PARTITION BY ts, r5) - 1) / 2.0) / (count(*) OVER (PARTITION BY ts) - 1) END::DOUBLE AS p FROM vr WHERE r5 IS NOT NULL),
+      vo AS (SELECT symbol, ts + to_days({k} % 3) + INTERVAL 15 HOUR AS told, CASE WHEN p >= 0.7::DOUBLE THEN 'BUY' ELSE 'SELL' END AS signal FROM vp WHERE p >= 0.7::DOUBLE OR p <= 0.3::DOUBLE),
+      ve AS (SELECT vo.symbol, told, signal, vr.n AS entry, vr.c AS paid FROM vo ASOF LEFT JOIN vr ON vr.symbol = vo.symbol AND vr.ts <= date_trunc('day', vo.told) WHERE told <= TIMESTAMP '{NOW}'),
+      vl AS (SELECT ve.*, lb.label, lb.touch, vr.c AS got FROM ve LEFT JOIN lb ON lb.symbol = ve.symbol AND lb.n = entry AND entry > 20 AND lb.label IS NOT NULL LEFT JOIN vr ON vr.symbol = ve.symbol AND vr.n = lb.touch),
+      vs AS (SELECT 'm@v1' AS model_id, symbol, told AS "at", signal, CASE WHEN label IS NOT NULL THEN 'resolved' WHEN told < TIMESTAMP '{NOW}' - to_days({outcomes.drop_days(HORIZON)}) THEN 'dropped' ELSE 'pending' END AS status, label,
+        CASE WHEN label IS NOT NULL THEN CASE signal WHEN 'BUY' THEN got / paid - 1 ELSE 1 - got / paid END END AS signed_return, CASE WHEN label IS NOT NULL THEN (label = 1) = (signal = 'BUY') END AS correct FROM vl)"""
+
+
+def _sync_sql() -> str:
+    k = "regexp_extract(symbol, '[0-9]+')::INTEGER"
+    return BARS + f""", sd AS (SELECT * FROM b WHERE ts < TIMESTAMP '1998-03-01' AND {k} <> 55),
+      la AS (SELECT symbol, ts, CASE WHEN {k} = 13 THEN -1 ELSE close END AS close, adj_close * CASE WHEN {k} % 10 = 1 THEN 0.5::DOUBLE ELSE 1 END AS adj_close, 1 AS priority, {k} <> 13 AS ok FROM b WHERE {k} % 2 = 1
+        UNION ALL SELECT symbol, ts, close, adj_close, 2, true FROM b WHERE {k} >= 20),
+      pl AS (SELECT symbol, mx AS previous_latest, CASE WHEN mx IS NULL THEN 'full' ELSE 'incremental' END AS mode, coalesce(least(mx::DATE - 10, DATE '1998-08-01'), DATE '1998-08-01' - 730) AS start, least(DATE '1998-08-01' - 730, mn::DATE) AS repair
+        FROM (SELECT DISTINCT symbol FROM b UNION SELECT s_name FROM supplier) LEFT JOIN (SELECT symbol, max(ts) AS mx, min(ts) AS mn FROM sd GROUP BY 1) USING (symbol)),
+      sn AS (SELECT la.*, pl.* EXCLUDE (symbol) FROM la JOIN pl USING (symbol) WHERE {k} <> 24 AND ts <= TIMESTAMP '1998-08-01' QUALIFY priority = min(priority) OVER (PARTITION BY symbol)),
+      mo AS (SELECT DISTINCT sn.symbol FROM sn JOIN sd ON sd.symbol = sn.symbol AND sd.ts = sn.ts WHERE ok AND mode = 'incremental' AND sn.ts::DATE >= start AND abs(sn.adj_close / sn.close - sd.adj_close / sd.close) / (sd.adj_close / sd.close) > 1e-4),
+      ch AS (SELECT sn.symbol, count(DISTINCT ts) AS rows, max(ts) AS newest, any_value(CASE WHEN mo.symbol IS NULL THEN mode ELSE 'readjusted' END) AS done FROM sn LEFT JOIN mo USING (symbol) WHERE ok AND ts::DATE >= CASE WHEN mo.symbol IS NULL THEN start ELSE repair END GROUP BY 1),
+      er AS (SELECT symbol, 'timeout' AS error FROM pl WHERE symbol LIKE 'Brand#%' AND {k.replace('symbol', 'symbol')} = 24 UNION ALL SELECT symbol, 'no valid bar' FROM sn GROUP BY 1 HAVING NOT bool_or(ok))
+      SELECT symbol, CASE WHEN error IS NOT NULL THEN 'failed' ELSE coalesce(done, mode) END AS mode, CASE WHEN error IS NOT NULL THEN 0 ELSE coalesce(rows, 0) END AS rows, previous_latest,
+        CASE WHEN error IS NOT NULL THEN previous_latest ELSE coalesce(newest, previous_latest) END AS latest, error FROM pl LEFT JOIN ch USING (symbol) LEFT JOIN er USING (symbol)"""
+
+
+def _paths_sql() -> str:
+    n = GROUPS
+    return RANKED + f""", sq AS (SELECT id, row_number() OVER (ORDER BY id DESC) - 1 AS split FROM range(0, {1 << n}) t(id) WHERE bit_count(id) = {TESTS}),
+      te AS (SELECT split, g AS grp, row_number() OVER (PARTITION BY g ORDER BY split) - 1 AS path FROM sq, range(0, {n}) u(g) WHERE (id >> ({n - 1} - g)) & 1 = 1),
+      ss AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT ts FROM rk)),
+      bd AS (SELECT g, floor(m * g / {n}.0)::BIGINT AS lo, floor(m * (g + 1) / {n}.0)::BIGINT AS hi FROM (SELECT any_value(m) AS m FROM ss), range(0, {n}) u(g)),
+      sg AS (SELECT ts, i, g AS grp FROM ss JOIN bd ON i >= lo AND i < hi),
+      tn AS (SELECT DISTINCT split, ts FROM sq, ss WHERE NOT EXISTS (SELECT 1 FROM te JOIN bd ON bd.g = te.grp WHERE te.split = sq.split AND ss.i >= lo - 6 AND ss.i < hi + 6)),
+      lg AS (SELECT ts, 'a' AS f, return_5d AS x, next_return AS y FROM rk UNION ALL SELECT ts, 'b', realized_vol_20, next_return FROM rk),
+      rr AS (SELECT ts, f, {_average_rank('x', 'ts, f')} AS a, {_average_rank('y', 'ts, f')} AS b FROM lg),
+      ic AS (SELECT ts, f, corr(a, b) AS ic FROM rr GROUP BY 1, 2 HAVING stddev_pop(a) > 0 AND stddev_pop(b) > 0),
+      fi AS (SELECT split, coalesce(avg(ic) FILTER (f = 'a'), 0) AS w1, coalesce(avg(ic) FILTER (f = 'b'), 0) AS w2 FROM ic JOIN tn USING (ts) GROUP BY 1),
+      sc AS (SELECT path, rk.ts, symbol, next_return, w1 * return_5d + w2 * realized_vol_20 AS p FROM rk JOIN sg USING (ts) JOIN te USING (grp) JOIN fi USING (split)),
+      be AS (SELECT path, ts, avg(next_return) AS r FROM (SELECT *, row_number() OVER (PARTITION BY path, ts ORDER BY round(p, 9) DESC, symbol) AS k, count(*) OVER (PARTITION BY path, ts) AS m FROM sc) WHERE k <= greatest(1, ceil(m * 0.2)) GROUP BY 1, 2),
+      pt AS (SELECT path, count(*) AS sessions, avg(r) AS mean_return, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 0) AS sharpe FROM be GROUP BY 1)"""
+
+
 def oracle_sql():
-    return {"coalesced_decisions": _decisions_sql(), "permutation_importance": _importance_sql(), "permutation_null": _null_sql(), "capacity_probe": _capacity_sql()}
+    return {
+        "vote_outcomes": _outcomes_sql() + " SELECT * FROM vs",
+        "vote_metrics": _outcomes_sql() + f""" SELECT model_id, count(*) AS n, CASE WHEN count(*) >= 10 THEN avg(correct::INTEGER) END AS accuracy, CASE WHEN count(*) >= 10 THEN coalesce(avg(signed_return) / nullif(stddev_samp(signed_return), 0) * sqrt(252.0 / {HORIZON}), 0) END AS sharpe
+            FROM vs WHERE status = 'resolved' AND "at" >= TIMESTAMP '{NOW}' - to_days(365) GROUP BY 1""",
+        "sync_summary": _sync_sql(),
+        "cpcv_paths": _paths_sql() + " SELECT * FROM pt",
+        "path_dispersion": _paths_sql() + " SELECT count(*) AS paths, avg(sharpe) AS mean, coalesce(stddev_samp(sharpe), 0) AS std, min(sharpe) AS least, max(sharpe) AS most, avg((sharpe > 0)::INTEGER) AS share_positive FROM pt",
+        "coalesced_decisions": _decisions_sql(), "permutation_importance": _importance_sql(), "permutation_null": _null_sql(), "capacity_probe": _capacity_sql()}

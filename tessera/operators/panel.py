@@ -111,11 +111,16 @@ def average_rank(value: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation of two columns without nulls; null without spread, where ``corr`` may raise."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def rank_ic(scored: DataFrame, score: str, outcome: str) -> DataFrame:
     """``ts, n, ic``: Spearman correlation in each session; 0 for fewer than three rows or no spread."""
     rows = scored.where(F.col(score).isNotNull() & F.col(outcome).isNotNull())
     rows = rows.select("ts", average_rank(score, ["ts"]).alias("a"), average_rank(outcome, ["ts"]).alias("b"))
-    ic = F.coalesce(F.nanvl(F.corr("a", "b"), F.lit(0.0)), F.lit(0.0))
+    ic = F.coalesce(F.nanvl(correlation("a", "b"), F.lit(0.0)), F.lit(0.0))
     return rows.groupBy("ts").agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, ic).otherwise(0.0).alias("ic"))
 
 

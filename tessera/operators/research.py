@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import study
 from tessera.operators.market import top_quantile
-from tessera.operators.panel import average_rank
+from tessera.operators.panel import average_rank, correlation
 
 #: Shares of labels that touch a barrier which a good width gives.
 BAND = (0.40, 0.70)
@@ -50,7 +50,7 @@ def session_ics(rows: DataFrame, by: list[str], value: str, outcome: str, least:
     keys = [*by, "ts"]
     rows = rows.where(F.col(value).isNotNull() & F.col(outcome).isNotNull())
     ranks = rows.select(*keys, average_rank(value, keys).alias("a"), average_rank(outcome, keys).alias("b"))
-    out = ranks.groupBy(*keys).agg(F.count("*").alias("m"), F.corr("a", "b").alias("ic"))
+    out = ranks.groupBy(*keys).agg(F.count("*").alias("m"), correlation("a", "b").alias("ic"))
     return out.where((F.col("m") >= least) & F.col("ic").isNotNull() & ~F.isnan("ic")).drop("m")
 
 

@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.panel import correlation
+
 YEAR = 252.0
 
 
@@ -191,7 +193,7 @@ def deflated_sharpe(returns: DataFrame, ret: str, by: str, trials: int = 1) -> D
 def pair_correlations(rows: DataFrame, ret: str, least: int = 30) -> DataFrame:
     """``a, b, n, corr`` of the symbols ``a < b`` with more than ``least`` shared sessions. Sums by pair meet before a row of a pair leaves its session's task."""
     left, right = (rows.where(F.col(ret).isNotNull()).select("ts", F.col("symbol").alias(s), F.col(ret).alias(f"r{s}")) for s in "ab")
-    both = left.join(right, "ts").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("corr"))
+    both = left.join(right, "ts").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), correlation("ra", "rb").alias("corr"))
     return both.where(F.col("n") > least)
 
 

@@ -128,7 +128,7 @@ def feature_evidence(spark, sf_dir):
     long = long.where("x is not null and next_return is not null")
     by = ["ts", "feature"]
     ranks = long.select(*by, panel.average_rank("x", by).alias("a"), panel.average_rank("next_return", by).alias("b"))
-    ic = ranks.groupBy(*by).agg(F.count("*").alias("m"), F.corr("a", "b").alias("ic")).where("m >= 3 and ic is not null and not isnan(ic)")
+    ic = ranks.groupBy(*by).agg(F.count("*").alias("m"), panel.correlation("a", "b").alias("ic")).where("m >= 3 and ic is not null and not isnan(ic)")
     return rounded(study.newey_west(ic, "ic", "feature", LAGS))
 
 
