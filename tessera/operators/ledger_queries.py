@@ -83,17 +83,23 @@ def payload_bars(spark, sf_dir):
 
 
 def payload_statements(spark, sf_dir):
-    """Company facts by customer nation: two concepts of revenue, amendments and quarterly reports; assembled to yearly statements."""
+    """Company facts by customer nation: concepts of revenue in two currencies, amendments, quarterly reports and shares; assembled to yearly statements."""
     o = _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     y = o.groupBy(F.col("c_nationkey").cast("string").alias("cik"), F.year("o_orderdate").alias("y")).agg(F.floor(F.sum("o_totalprice")).cast("double").alias("v"), F.count("*").cast("double").alias("n"))
     fact = lambda val, form, fp, filed: F.struct(F.concat(F.col("y").cast("string"), F.lit("-12-31")).alias("end"), val.alias("val"), F.lit(form).alias("form"), F.lit(fp).alias("fp"), filed.alias("filed"))
     at = lambda md: F.concat((F.col("y") + 1).cast("string"), F.lit(md))
+    first = F.array(fact(F.col("v"), "10-K", "FY", at("-02-15")), fact(F.col("v") + 1, "10-K/A", "FY", at("-05-15")), fact(F.col("v") / 4, "10-Q", "Q1", at("-01-15")))
+    some = lambda when, x: F.collect_list(F.when(when, x))
     rows = y.groupBy("cik").agg(
-        F.flatten(F.collect_list(F.array(fact(F.col("v"), "10-K", "FY", at("-02-15")), fact(F.col("v") + 1, "10-K/A", "FY", at("-05-15")), fact(F.col("v") / 4, "10-Q", "Q1", at("-01-15"))))).alias("a"),
-        F.collect_list(F.when(F.col("y") % 2 == 0, fact(F.col("v") * 2, "10-K", "FY", at("-03-01")))).alias("b"), F.collect_list(fact(F.col("n"), "10-K", "FY", F.when(F.col("y") % 3 != 0, at("-04-01")))).alias("c"),
+        F.flatten(some(F.col("y") % 3 != 1, first)).alias("a"), some(F.col("y") % 2 == 0, fact(F.col("v") * 2, "10-K", "FY", at("-03-01"))).alias("b"),
+        F.collect_list(fact(F.col("n"), "10-K", "FY", F.when(F.col("y") % 3 != 0, at("-04-01")))).alias("c"), F.collect_list(fact(F.col("v") * 7, "10-K", "FY", at("-02-01"))).alias("e"),
+        F.collect_list(fact(F.col("n") * 10, "10-K", "FY", at("-03-15"))).alias("s"),
+    )
+    units = lambda **by: F.struct(F.create_map(*[x for unit, c in by.items() for x in (F.lit(unit), F.col(c))]).alias("units"))
+    tags = F.create_map(
+        F.lit("Revenues"), units(EUR="e", USD="a"), F.lit("RevenueFromContractWithCustomerExcludingAssessedTax"), units(USD="b"), F.lit("Assets"), units(USD="c"),
+        F.lit("CommonStockSharesOutstanding"), units(shares="s"), F.lit("ProfitLoss"), units(USD="e"),
     )
-    usd = lambda c: F.struct(F.create_map(F.lit("USD"), F.col(c)).alias("units"))
-    tags = F.create_map(F.lit("Revenues"), usd("a"), F.lit("RevenueFromContractWithCustomerExcludingAssessedTax"), usd("b"), F.lit("Assets"), usd("c"))
     landed = rows.select("cik", F.to_json(F.struct(F.struct(tags.alias("us-gaap")).alias("facts"))).alias("payload"))
     return payloads.statements(payloads.annual_facts(landed), newest=3)
 
@@ -151,7 +157,8 @@ def oracle_sql():
         "payload_bars": BARS + """ SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(adj_close, 6) AS adj_close, volume FROM b
             WHERE symbol <> 'Brand#11' AND dayofyear(ts) % 100 <> 7""",
         "payload_statements": """WITH y AS (SELECT c_nationkey::VARCHAR AS cik, year(o_orderdate) AS y, floor(sum(o_totalprice))::DOUBLE AS v, count(*)::DOUBLE AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
-            SELECT cik, make_date(y, 12, 31) AS period_end, CASE WHEN y % 2 = 0 THEN v * 2 ELSE v END AS revenue, NULL::DOUBLE AS net_income, n AS total_assets, CASE WHEN y % 3 <> 0 THEN make_date(y + 1, 4, 1) END AS filed_at
+            SELECT cik, make_date(y, 12, 31) AS period_end, CASE WHEN y % 3 <> 1 THEN v WHEN y % 2 = 0 THEN v * 2 END AS revenue, NULL::DOUBLE AS gross_profit, NULL::DOUBLE AS cost_of_revenue, NULL::DOUBLE AS net_income, n AS total_assets,
+              NULL::DOUBLE AS total_liabilities, NULL::DOUBLE AS current_assets, NULL::DOUBLE AS current_liabilities, n * 10 AS shares_outstanding, NULL::DOUBLE AS operating_cash_flow, NULL::DOUBLE AS eps, CASE WHEN y % 3 <> 0 THEN make_date(y + 1, 4, 1) END AS filed_at
             FROM y QUALIFY row_number() OVER (PARTITION BY cik ORDER BY y DESC) <= 3""",
         "payload_macro": """WITH o AS (SELECT DISTINCT o_orderpriority AS series, date_trunc('month', o_orderdate)::DATE AS d FROM orders) SELECT series, count(*) AS observations, count(*) FILTER (month(d) = 7) AS undated, min(d) AS first_date, max(d) AS last_date
             FROM o WHERE month(d) <> 5 GROUP BY 1""",

@@ -7,12 +7,24 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Field to the concepts that report it, best first.
+#: Field to the concepts that report it and their units, best first.
 CONCEPTS = {
-    "revenue": ["RevenueFromContractWithCustomerExcludingAssessedTax", "Revenues", "SalesRevenueNet"],
-    "net_income": ["NetIncomeLoss", "ProfitLoss"],
-    "total_assets": ["Assets"],
-}
+    "revenue": [
+        ("Revenues", "USD"), ("RevenueFromContractWithCustomerExcludingAssessedTax", "USD"), ("RevenueFromContractWithCustomerIncludingAssessedTax", "USD"), ("SalesRevenueNet", "USD"),
+    ],
+    "gross_profit": [("GrossProfit", "USD")],
+    "cost_of_revenue": [("CostOfRevenue", "USD"), ("CostOfGoodsAndServicesSold", "USD"), ("CostOfGoodsSold", "USD"), ("CostOfServices", "USD")],
+    "net_income": [("NetIncomeLoss", "USD")],
+    "total_assets": [("Assets", "USD")],
+    "total_liabilities": [("Liabilities", "USD")],
+    "current_assets": [("AssetsCurrent", "USD")],
+    "current_liabilities": [("LiabilitiesCurrent", "USD")],
+    "shares_outstanding": [
+        ("CommonStockSharesOutstanding", "shares"), ("WeightedAverageNumberOfSharesOutstandingBasic", "shares"), ("WeightedAverageNumberOfDilutedSharesOutstanding", "shares"),
+    ],
+    "operating_cash_flow": [("NetCashProvidedByUsedInOperatingActivities", "USD")],
+    "eps": [("EarningsPerShareBasic", "USD/shares")],
+}
 #: Fixed value: the vintage that stands for an unknown one.
 UNDATED = "9999-12-31"
 
@@ -62,11 +74,11 @@ def annual_facts(payloads: DataFrame) -> DataFrame:
     return out.select("cik", "tag", "unit", "period_end", F.col("x.value").alias("value"), F.nullif(F.col("x.at"), F.lit(UNDATED).cast("date")).alias("filed"))
 
 
-def statements(facts: DataFrame, concepts: Mapping[str, list[str]] = CONCEPTS, newest: int | None = None) -> DataFrame:
-    """``cik, period_end, filed_at`` and a column for each field: the best concept that a period has; filed when its last field was, null if one is undated."""
-    ranked = [(field, tag, i) for field, tags in concepts.items() for i, tag in enumerate(tags)]
-    table = F.broadcast(facts.sparkSession.createDataFrame(ranked, "field string, tag string, place int"))
-    best = facts.join(table, "tag").groupBy("cik", "field", "period_end").agg(F.min_by(F.struct("value", "filed"), F.struct("place", "unit")).alias("x"))
+def statements(facts: DataFrame, concepts: Mapping[str, list[tuple[str, str]]] = CONCEPTS, newest: int | None = None) -> DataFrame:
+    """``cik, period_end, filed_at`` and a column for each field: the best concept in its unit that a period has; filed when its last field was, null if one is undated."""
+    ranked = [(field, tag, unit, i) for field, tags in concepts.items() for i, (tag, unit) in enumerate(tags)]
+    table = F.broadcast(facts.sparkSession.createDataFrame(ranked, "field string, tag string, unit string, place int"))
+    best = facts.join(table, ["tag", "unit"]).groupBy("cik", "field", "period_end").agg(F.min_by(F.struct("value", "filed"), "place").alias("x"))
     out = best.groupBy("cik", "period_end").agg(
         *[F.max(F.when(F.col("field") == f, F.col("x.value"))).alias(f) for f in concepts], F.when(F.count_if(F.col("x.filed").isNull()) == 0, F.max("x.filed")).alias("filed_at")
     )
