@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import decisions as desk
 from tessera.operators import importance as imp
-from tessera.operators import market, outcomes, panel, paths, strategy, study, sync
+from tessera.operators import fitting, market, outcomes, panel, paths, strategy, study, sync
 from tessera.operators import technical as tech
 from tessera.operators.panel_queries import HORIZON, _read
 from tessera.operators.queries import BARS, FEATURES, _bars
@@ -138,8 +138,21 @@ def path_dispersion(spark, sf_dir):
     return paths.dispersion(cpcv_paths(spark, sf_dir), "sharpe")
 
 
+TRAIN, TEST, VAL, GAP = 252, 63, 63, 6
+
+
+def fold_table(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Ranked rows with a weight, and the fit, validation and test sessions of purged walk-forward folds."""
+    rows = _ranked(spark, sf_dir).withColumn("weight", 1.0 / (F.regexp_extract("symbol", "[0-9]+", 0).cast("int") % 3 + 1))
+    return rows, fitting.windows(study.walk_forward(rows, TRAIN, TEST, GAP - 1, 1), VAL, GAP)
+
+
+def fold_windows(spark, sf_dir):
+    return fitting.described(*fold_table(spark, sf_dir))
+
+
 def queries():
-    made = [vote_outcomes, vote_metrics, sync_summary, cpcv_paths, path_dispersion, coalesced_decisions, permutation_importance, permutation_null, capacity_probe]
+    made = [fold_windows, vote_outcomes, vote_metrics, sync_summary, cpcv_paths, path_dispersion, coalesced_decisions, permutation_importance, permutation_null, capacity_probe]
     return {q.__name__: q for q in made}
 
 
@@ -274,7 +287,7 @@ def _sync_sql() -> str:
     return BARS + f""", sd AS (SELECT * FROM b WHERE ts < TIMESTAMP '1998-03-01' AND {k} <> 55),
       la AS (SELECT symbol, ts, CASE WHEN {k} = 13 THEN -1 ELSE close END AS close, adj_close * CASE WHEN {k} % 10 = 1 THEN 0.5::DOUBLE ELSE 1 END AS adj_close, 1 AS priority, {k} <> 13 AS ok FROM b WHERE {k} % 2 = 1
         UNION ALL SELECT symbol, ts, close, adj_close, 2, true FROM b WHERE {k} >= 20),
-      pl AS (SELECT symbol, mx AS previous_latest, CASE WHEN mx IS NULL THEN 'full' ELSE 'incremental' END AS mode, coalesce(least(mx::DATE - 10, DATE '1998-08-01'), DATE '1998-08-01' - 730) AS start, least(DATE '1998-08-01' - 730, mn::DATE) AS repair
+      pl AS (SELECT symbol, mx AS previous_latest, CASE WHEN mx IS NULL THEN 'full' ELSE 'incremental' END AS mode, CASE WHEN mx IS NULL THEN DATE '1998-08-01' - 730 ELSE least(mx::DATE - 10, DATE '1998-08-01') END AS start, least(DATE '1998-08-01' - 730, mn::DATE) AS repair
         FROM (SELECT DISTINCT symbol FROM b UNION SELECT s_name FROM supplier) LEFT JOIN (SELECT symbol, max(ts) AS mx, min(ts) AS mn FROM sd GROUP BY 1) USING (symbol)),
       sn AS (SELECT la.*, pl.* EXCLUDE (symbol) FROM la JOIN pl USING (symbol) WHERE {k} <> 24 AND ts <= TIMESTAMP '1998-08-01' QUALIFY priority = min(priority) OVER (PARTITION BY symbol)),
       mo AS (SELECT DISTINCT sn.symbol FROM sn JOIN sd ON sd.symbol = sn.symbol AND sd.ts = sn.ts WHERE ok AND mode = 'incremental' AND sn.ts::DATE >= start AND abs(sn.adj_close / sn.close - sd.adj_close / sd.close) / (sd.adj_close / sd.close) > 1e-4),
@@ -301,8 +314,18 @@ def _paths_sql() -> str:
       pt AS (SELECT path, count(*) AS sessions, avg(r) AS mean_return, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 0) AS sharpe FROM be GROUP BY 1)"""
 
 
+def _windows_sql() -> str:
+    most = 10_000
+    return RANKED + f""", ss AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT ts FROM rk)),
+      fo AS (SELECT k::INTEGER AS fold, ts, i - k * {TEST} AS j FROM ss, range(0, {most}) t(k) WHERE k * {TEST} + {TRAIN + TEST} <= m AND i >= k * {TEST} AND i < k * {TEST} + {TRAIN + TEST}),
+      ro AS (SELECT fold, ts, CASE WHEN j >= {TRAIN} THEN 'test' WHEN j < {TRAIN - GAP} AND j >= {TRAIN - GAP - VAL} THEN 'val' WHEN j < {TRAIN - GAP - VAL - GAP} THEN 'fit' END AS role FROM fo)
+      SELECT fold, role, count(DISTINCT ts) AS sessions, count(*) AS rows, avg(y) AS positive_rate, sum(1.0::DOUBLE / (regexp_extract(symbol, '[0-9]+')::INTEGER % 3 + 1)) AS effective_rows, min(ts) AS first, max(ts) AS last
+      FROM rk JOIN ro USING (ts) WHERE role IS NOT NULL GROUP BY 1, 2"""
+
+
 def oracle_sql():
     return {
+        "fold_windows": _windows_sql(),
         "vote_outcomes": _outcomes_sql() + " SELECT * FROM vs",
         "vote_metrics": _outcomes_sql() + f""" SELECT model_id, count(*) AS n, CASE WHEN count(*) >= 10 THEN avg(correct::INTEGER) END AS accuracy, CASE WHEN count(*) >= 10 THEN coalesce(avg(signed_return) / nullif(stddev_samp(signed_return), 0) * sqrt(252.0 / {HORIZON}), 0) END AS sharpe
             FROM vs WHERE status = 'resolved' AND "at" >= TIMESTAMP '{NOW}' - to_days(365) GROUP BY 1""",

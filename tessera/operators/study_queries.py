@@ -370,7 +370,7 @@ def _oracle_sql():
         "survivorship": BARS + """, e AS (SELECT symbol, min(ts) AS a, max(ts) AS z FROM b GROUP BY 1) SELECT count(*) AS symbols, count(*) FILTER (date_diff('day', (SELECT min(ts) FROM b), a) > 0) AS late_starters,
             count(*) FILTER (date_diff('day', z, (SELECT max(ts) FROM b)) > 0) AS early_enders FROM e""",
         "fetch_plan": BARS + """, y AS (SELECT DISTINCT p_brand AS symbol FROM part UNION SELECT s_name FROM supplier), e AS (SELECT symbol, min(ts) AS a, max(ts) AS z FROM b GROUP BY 1)
-            SELECT symbol, CASE WHEN z IS NULL THEN 'full' ELSE 'incremental' END AS mode, coalesce(least(z::DATE - 10, DATE '2024-06-03'), DATE '2024-06-03' - 7300) AS start, least(DATE '2024-06-03' - 7300, a::DATE) AS repair_start,
+            SELECT symbol, CASE WHEN z IS NULL THEN 'full' ELSE 'incremental' END AS mode, CASE WHEN z IS NULL THEN DATE '2024-06-03' - 7300 ELSE least(z::DATE - 10, DATE '2024-06-03') END AS start, least(DATE '2024-06-03' - 7300, a::DATE) AS repair_start,
               date_diff('day', z::DATE, DATE '2024-06-03')::INTEGER AS age_days FROM y LEFT JOIN e USING (symbol)""",
         "trading_costs": COSTS + " SELECT symbol, aum, round(half_spread, 6) AS half_spread, round(participation, 6) AS participation, round(impact, 6) AS impact, round(total_bps, 6) AS total_bps, tradeable FROM kc",
         "capacity": COSTS + """ SELECT aum, count(*) AS names, round(median(total_bps), 6) AS median_bps, round(quantile_cont(total_bps, 0.9), 6) AS p90_bps, round(max(total_bps), 6) AS max_bps, round(avg((NOT tradeable)::INTEGER), 6) AS untradeable FROM kc GROUP BY 1""",

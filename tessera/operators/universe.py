@@ -56,7 +56,7 @@ def survivorship(bars: DataFrame, days: int = 90) -> DataFrame:
 def fetch_plan(symbols: DataFrame, coverage: DataFrame, now: Column, depth_days: int, overlap_days: int) -> DataFrame:
     """``symbol, mode, start, repair_start``: all history for a new symbol, else from some days before its last bar; a repair reaches its earliest bar."""
     rows = symbols.select("symbol").distinct().join(coverage.select("symbol", "first_ts", "last_ts"), "symbol", "left")
-    full, resume = F.date_sub(now, depth_days), F.least(F.date_sub(F.col("last_ts"), overlap_days), F.to_date(now))
+    full, resume = F.date_sub(now, depth_days), F.when(F.col("last_ts").isNotNull(), F.least(F.date_sub(F.col("last_ts"), overlap_days), F.to_date(now)))  # least skips nulls
     return rows.select(
         "symbol", F.when(F.col("last_ts").isNull(), "full").otherwise("incremental").alias("mode"), F.coalesce(resume, full).alias("start"),
         F.least(full, F.to_date("first_ts")).alias("repair_start"), F.datediff(now, "last_ts").alias("age_days"),
