@@ -68,6 +68,24 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], how: str =
     return rows.withColumn("__salt", salt).join(salted, [*keys, "__salt"], how).drop("__salt")
 
 
+class Apart:
+    """``docs`` as columns that an operator names and one struct of all others, ``rest``, so that no name of a caller's meets one of the operator's own."""
+
+    BASE = ("doc_id", "text", "lang", "source")
+
+    def __init__(self, docs: DataFrame):
+        self.columns = docs.columns
+        self.others = [c for c in docs.columns if c.lower() not in self.BASE]
+        cell = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        packed = F.struct(*[cell(c).alias(f"c{i}") for i, c in enumerate(self.others)]) if self.others else F.lit(0)
+        self.docs = docs.select(*[cell(c).alias(c.lower()) for c in docs.columns if c.lower() in self.BASE], packed.alias("rest"))
+
+    def restored(self, rows: DataFrame, **changed: Column) -> DataFrame:
+        """``rows`` with the caller's columns under their names and in their order; ``changed`` are new values of some of them."""
+        value = lambda c: F.col(c.lower()) if c.lower() in self.BASE else F.col(f"rest.c{self.others.index(c)}")
+        return rows.select(*[changed.get(c, value(c)).alias(c) for c in self.columns])
+
+
 def repeated_ids(docs: DataFrame) -> DataFrame:
     """``__many``: each doc_id that several rows of ``docs`` have."""
     many = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")

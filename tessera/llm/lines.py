@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, stored, text_or_empty
+from tessera.llm.common import Apart, let, stored, text_or_empty
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -108,16 +108,14 @@ def dropped_lines(docs: DataFrame, least_chars: int = 0) -> DataFrame:
 
 
 def without_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` with the dropped lines taken out of ``text``, and ``n_chars``, if there, brought up to date."""
+    """``docs`` with the dropped lines taken out of ``text``, and ``n_chars``, if there, brought up to date; other columns stay, whatever their names."""
+    apart = Apart(docs)
     gone = dropped.select(F.col("doc_id").alias("__id"), F.concat("exact", "near").alias("__gone"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
+    joined = apart.docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
 
     def rest(lines: Column) -> Column:
         at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
         return F.array_join(F.transform(at, lambda i: F.get(lines, i)), "\n")
 
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rest))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return apart.restored(joined.withColumn("text", text), **({"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import numbered, repeated_ids, spread_join, stored, text_or_empty, word_count
+from tessera.llm.common import Apart, numbered, repeated_ids, spread_join, stored, text_or_empty, word_count
 
 #: Rows that one pivotal block holds on average, and blocks that meet in one node of the reduction tree.
 BLOCK_ROWS = 4096
@@ -147,20 +147,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), seed: int
 
 
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as ``mixed`` says (rows with no copies go), columns unchanged.
+    """The mix itself: each row of ``docs`` as often as ``mixed`` says (rows with no copies go), columns unchanged, whatever their names.
 
     Rows of a repeated doc_id are numbered on both sides by source and size, which both have; within equal ones
-    the rows of ``docs`` are in the order of their columns and the copies fall. Each row meets one row of the mix.
+    the rows of ``docs`` are in the order of their text, lang and other columns and the copies fall. Each row meets one row of the mix.
     """
-    many = repeated_ids(docs)
-    same = F.col("doc_id") == F.col("__many")
-    order = Window.partitionBy("doc_id").orderBy("source", "__size", *[F.col(f"`{c}`") for c in docs.columns])
+    apart, many = Apart(docs), repeated_ids(docs)
+    docs, same = apart.docs, F.col("doc_id") == F.col("__many")
+    last = F.to_json("rest") if apart.others else F.lit(0)
+    order = Window.partitionBy("doc_id").orderBy("source", "__size", *[c for c in ("text", "lang") if c in docs.columns], last)
     some = docs.join(many, same, "left_semi").withColumn("__size", word_count(text_or_empty())).withColumn("__at", F.row_number().over(order)).drop("__size")
     rows = docs.join(many, same, "left_anti").withColumn("__at", F.lit(1)).unionByName(some)
     falling = Window.partitionBy("doc_id").orderBy("source", "size", F.desc("copies"))
     times = mixed.select(F.col("doc_id").alias("__id"), F.row_number().over(falling).alias("__row"), F.col("copies").alias("__n")).where("__n > 0")
-    return (
-        rows.join(times, (F.col("doc_id") == F.col("__id")) & (F.col("__at") == F.col("__row")))
-        .withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    met = rows.join(times, (F.col("doc_id") == F.col("__id")) & (F.col("__at") == F.col("__row")))
+    return apart.restored(met.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))))

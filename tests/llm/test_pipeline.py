@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import mixing, stages
@@ -47,3 +49,27 @@ def test_pipeline_with_repeated_rows(spark, tmp_path):
     docs(spark, rows[:30]).write.parquet(f"{tmp_path}/once/documents.parquet")
     assert got == Counter(r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/once").collect())
     assert max(got.values()) <= 3
+
+
+NAMES = ["__at", "__i", "__id", "__gone", "__many", "__n", "__size", "rest", "__row", "doc", "a.b", "n", "key", "h", "__one", "c0"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_columns_of_any_name_stay(spark, name):
+    """Each stage with every name that it, or another, uses within: the same rows as without, the extra columns unchanged."""
+    rows = [(i, prose(i % 40, 30 + i % 9) + ("\n" + prose(900) if i % 4 == 0 else ""), "abc"[i % 3]) for i in range(60)] + [(7, prose(7, 37), "b"), (8, None, "c")]
+    plain = docs(spark, rows)
+    stage = dict(corpus_pipeline.STAGES)[name]
+    odd = plain.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in NAMES], F.create_map(F.lit("k"), F.col("doc_id")).alias("map"))
+    got, want = stage(spark, odd, ""), stage(spark, plain, "")
+    assert got.columns == odd.columns
+    same = [F.col(f"`{n}`") == F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in NAMES]
+    told = got.select("doc_id", "text", "lang", "source", "n_chars", "size", *[c.alias(f"x{i}") for i, c in enumerate(same)]).collect()
+    assert all(all(r[6:]) for r in told)
+    assert Counter(r[:6] for r in told) == Counter(tuple(r) for r in want.collect())
+
+
+def test_tokens_with_columns_of_any_name(spark):
+    plain = docs(spark, [(i, prose(i), "a") for i in range(5)])
+    odd = plain.select("*", *[F.lit(1).alias(n) for n in (*NAMES, "ids", "block", "bucket", "docs")])
+    assert sorted(stages.tokens(spark, odd, "").collect()) == sorted(stages.tokens(spark, plain, "").collect())
