@@ -86,11 +86,46 @@ def pivot(share: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block(seed: int):
+def pooled(share: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Pivotal rounding of entries with words, the largest first, each paired with all that follow it at once.
+
+    The pair moves words until the entry is 0 or 1, or all that follow are: these give in proportion to their shares, or take in proportion
+    to what they lack of 1. Words stay as they are, and where all shares begin equal so does every expected share. What is left
+    over is one of the smallest entries, unless one outweighs what all after it can give and take.
+    """
+    out = share.copy()
+    eps = 1e-9
+    open_ = np.flatnonzero((share > eps) & (share < 1 - eps))
+    out[share <= eps], out[share >= 1 - eps] = 0.0, 1.0
+    s0, z = share[open_].astype(float), size[open_].astype(float)
+    words, held = z[::-1].cumsum()[::-1], (z * s0)[::-1].cumsum()[::-1]
+    a, b = 0.0, 1.0  # the share of an entry that is still open is a + b * s0
+    for i, place in enumerate(open_.tolist()):
+        s = min(1.0, max(0.0, a + b * s0[i]))
+        total = words[i + 1] if i + 1 < len(z) else 0.0
+        give = min(total, max(0.0, a * total + b * (held[i + 1] if i + 1 < len(z) else 0.0)))
+        take = total - give
+        up, down = min((1 - s) * z[i], give), min(s * z[i], take)
+        if up + down <= eps:
+            out[place] = s
+            out[open_[i + 1 :]] = np.clip(a + b * s0[i + 1 :], 0, 1)
+            break
+        if draws[place] * (up + down) < down:
+            s, a, b = s + up / z[i], a * (1 - up / give), b * (1 - up / give)
+        else:
+            s, a, b = s - down / z[i], down / take + a * (1 - down / take), b * (1 - down / take)
+        out[place] = s if eps < s < 1 - eps else round(s)
+    return np.where((out > eps) & (out < 1 - eps), out, np.round(out))
+
+
+def _block(seed: int, first: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")  # what is left over is small
-        share = pivot(rows["share"].to_numpy(np.float64), rows["size"].to_numpy(np.int64), _uniform(rows["doc_id"].to_numpy(np.int64), seed))
-        return rows.assign(share=share)
+        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        share, size, draws = rows["share"].to_numpy(np.float64), rows["size"].to_numpy(np.int64), _uniform(rows["doc_id"].to_numpy(np.int64), seed)
+        if first:  # all of a source begin with one share: large documents settle first, what is left over is small
+            some = size > 0
+            share[some] = pooled(share[some], size[some], draws[some])
+        return rows.assign(share=pivot(share, size, draws))
 
     return run
 
@@ -99,7 +134,7 @@ def copies(docs: DataFrame, seed: int = 7) -> DataFrame:
     """Integer copies for ``doc_id, source_key, size, ratio, n`` (rows of the source): floor(ratio) plus a rounded rest; adds ``copies``.
 
     Rows of a source fall into blocks by a hash of the id, about BLOCK_ROWS each however large the source is, are dealt out
-    by source and block, and are rounded within; each block leaves two fractional rows at most. The left-over rows of
+    by source and block, and are rounded within, the largest paired with all smaller ones first; each block leaves two fractional rows at most, small ones. The left-over rows of
     FAN_IN blocks meet in the next level of the tree, and so on; the last ones of a source are rounded to the nearest.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS))
@@ -114,7 +149,7 @@ def copies(docs: DataFrame, seed: int = 7) -> DataFrame:
     while True:
         # dealt by both: Spark would take rows that a join left dealt by source_key alone as they are
         dealt = rows.repartition("source_key", "block")
-        rounded = stored(dealt.groupBy("source_key", "block").applyInPandas(_block(seed + level), schema), f"pivot{level}")
+        rounded = stored(dealt.groupBy("source_key", "block").applyInPandas(_block(seed + level, level == 0), schema), f"pivot{level}")
         fractional = (F.col("share") > 1e-9) & (F.col("share") < 1 - 1e-9)
         settled = rounded.where(~fractional)
         done = settled if done is None else done.unionByName(settled)
@@ -129,8 +164,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), seed: int
     """``doc_id, source, size, source_size, target, copies, taken`` for ``doc_id, text, source``.
 
     A document's size is its number of words, null and empty texts have 0; a source takes ``target / source_size``
-    copies of each document on average, each document either floor or ceil of that. Words are what the rounding keeps,
-    so a source's taken words miss its target by half of one document at most. Sources without words take
+    copies of each document on average, each document either floor or ceil of that. Words are what the rounding keeps: a source's taken
+    words miss its target by half of what is left over, a small document unless one outweighs all others of its block. Sources without words take
     nothing. A null source is one of its own. A repeated doc_id is so many documents. Reruns on the same rows agree.
     """
     sized = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "source", word_count(text_or_empty()).alias("size"))
