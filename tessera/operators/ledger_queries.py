@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import ledger, panel
-from tessera.operators.panel_queries import HORIZON, _read, rounded
+from tessera.operators.panel_queries import HORIZON, _read, rounded, unrounded
 from tessera.operators.queries import BARS, _bars
 from tessera.sources import payloads
 
@@ -41,7 +41,7 @@ def equity(spark, sf_dir):
 
 def breaker(spark, sf_dir):
     rows = _bars(spark, sf_dir).select("symbol", "ts", F.col("adj_close").alias("equity"))
-    return rounded(ledger.breaker(rows, "symbol", 0.0))
+    return ledger.breaker(rows, "symbol", 0.0)
 
 
 def protective_exits(spark, sf_dir):
@@ -79,7 +79,7 @@ def payload_bars(spark, sf_dir):
     each = b.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct(F.date_format("ts", "yyyy-MM-dd").alias("k"), fields.alias("v")))).alias("m"))  # a symbol's sessions
     whole = F.to_json(F.struct(F.col("m").alias("Time Series (Daily)")))
     landed = each.select("symbol", F.when(F.col("symbol") == "Brand#11", '{"Note": "call frequency"}').otherwise(whole).alias("payload"))
-    return rounded(payloads.daily_bars(landed))
+    return payloads.daily_bars(landed)
 
 
 def payload_statements(spark, sf_dir):
@@ -138,10 +138,10 @@ def oracle_sql():
             h AS (SELECT day, sum(ch) AS ch FROM (SELECT day, worth - coalesce(lag(worth) OVER (PARTITION BY symbol ORDER BY day), 0) AS ch FROM l) GROUP BY 1),
             e AS (SELECT day, {CASH} + sum(flow) OVER (ORDER BY day) AS cash, sum(ch) OVER (ORDER BY day) AS exposure FROM c JOIN h USING (day))
             SELECT day, round(cash, 4) AS cash, round(exposure, 4) AS exposure, round(cash + exposure, 4) AS equity FROM e""",
-        "breaker": BARS + """, x AS (SELECT symbol, ts, adj_close AS equity, 1 - adj_close / max(adj_close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS drawdown,
+        "breaker": unrounded(BARS + """, x AS (SELECT symbol, ts, adj_close AS equity, 1 - adj_close / max(adj_close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS drawdown,
               greatest(0, 1 - adj_close / first(adj_close) OVER (PARTITION BY symbol, ts::DATE ORDER BY ts)) AS daily_loss FROM b)
             SELECT symbol, ts, round(equity, 6) AS equity, round(drawdown, 6) AS drawdown, round(daily_loss, 6) AS daily_loss, CASE WHEN bool_or(drawdown >= 0.15::DOUBLE) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) THEN 'BLACK'
-              WHEN daily_loss >= 0.05::DOUBLE THEN 'RED' WHEN drawdown >= 0.08::DOUBLE THEN 'YELLOW' ELSE 'NONE' END AS level FROM x""",
+              WHEN daily_loss >= 0.05::DOUBLE THEN 'RED' WHEN drawdown >= 0.08::DOUBLE THEN 'YELLOW' ELSE 'NONE' END AS level FROM x"""),
         "protective_exits": BARS + f""", x AS (SELECT symbol, ts, close, list({{'t': ts, 'c': close}}) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {HORIZON} FOLLOWING) AS nx FROM b),
             y AS (SELECT *, list_filter(nx, lambda z: z.c <= close * 0.95::DOUBLE OR z.c >= close * 1.1::DOUBLE)[1] AS hit FROM x)
             SELECT symbol, ts, hit.t AS exit_ts, round(hit.c, 6) AS exit_price, CASE WHEN hit.c <= close * 0.95::DOUBLE THEN 'stop' ELSE 'target' END AS reason FROM y WHERE hit.c IS NOT NULL""",
@@ -154,8 +154,8 @@ def oracle_sql():
             gd AS (SELECT feature, i AS bin FROM rg, range(10) q(i)), ct AS (SELECT gd.feature, gd.bin, count(*) FILTER (ref) AS r, count(*) FILTER (NOT ref) AS c FROM gd LEFT JOIN bn ON gd.feature = bn.feature AND gd.bin = bn.bin GROUP BY 1, 2),
             pq AS (SELECT feature, (r + 1e-6) / (sum(r) OVER w + 1e-5) AS p, (c + 1e-6) / (sum(c) OVER w + 1e-5) AS q FROM ct WINDOW w AS (PARTITION BY feature)), ps AS (SELECT feature, sum((q - p) * ln(q / p)) AS psi FROM pq GROUP BY 1)
             SELECT feature, round(psi, 6) AS psi, round(ks, 6) AS ks, CASE WHEN psi > 0.2::DOUBLE THEN 'auto_retrain' WHEN p_value < 0.01::DOUBLE THEN 'alert_and_monitor' ELSE 'no_action' END AS action FROM ps JOIN t USING (feature)""",
-        "payload_bars": BARS + """ SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(adj_close, 6) AS adj_close, volume FROM b
-            WHERE symbol <> 'Brand#11' AND dayofyear(ts) % 100 <> 7""",
+        "payload_bars": unrounded(BARS + """ SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(adj_close, 6) AS adj_close, volume FROM b
+            WHERE symbol <> 'Brand#11' AND dayofyear(ts) % 100 <> 7"""),
         "payload_statements": """WITH y AS (SELECT c_nationkey::VARCHAR AS cik, year(o_orderdate) AS y, floor(sum(o_totalprice))::DOUBLE AS v, count(*)::DOUBLE AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
             SELECT cik, make_date(y, 12, 31) AS period_end, CASE WHEN y % 3 <> 1 THEN v WHEN y % 2 = 0 THEN v * 2 END AS revenue, NULL::DOUBLE AS gross_profit, NULL::DOUBLE AS cost_of_revenue, NULL::DOUBLE AS net_income, n AS total_assets,
               NULL::DOUBLE AS total_liabilities, NULL::DOUBLE AS current_assets, NULL::DOUBLE AS current_liabilities, n * 10 AS shares_outstanding, NULL::DOUBLE AS operating_cash_flow, NULL::DOUBLE AS eps, CASE WHEN y % 3 <> 0 THEN make_date(y + 1, 4, 1) END AS filed_at

@@ -33,7 +33,7 @@ def unrounded(sql: str) -> str:
 
 
 def technical(spark, sf_dir):
-    return rounded(tech.technical(_bars(spark, sf_dir)))
+    return tech.technical(_bars(spark, sf_dir))
 
 
 def recursive(spark, sf_dir):
@@ -63,7 +63,7 @@ def _restated(spark, sf_dir):
 
 
 def upsert(spark, sf_dir):
-    return rounded(panel.upsert(_bars(spark, sf_dir), _restated(spark, sf_dir)))
+    return panel.upsert(_bars(spark, sf_dir), _restated(spark, sf_dir))
 
 
 def restatements(spark, sf_dir):
@@ -244,7 +244,7 @@ def _directional_sql() -> str:
 def oracle_sql():
     return {
         "directional": _directional_sql(),
-        "technical": _technical_sql(),
+        "technical": unrounded(_technical_sql()),
         "recursive": _recursive_sql(),
         "triple_barrier": ADJUSTED + f""", g AS (SELECT *, CASE WHEN n > 20 THEN stddev_samp(lr) OVER (w ROWS 19 PRECEDING) END AS sigma,
               list({{'n': n, 'h': h, 'l': l, 'c': c}}) OVER (w ROWS BETWEEN 1 FOLLOWING AND {HORIZON} FOLLOWING) AS nx FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
@@ -255,7 +255,7 @@ def oracle_sql():
               (CASE barrier WHEN 'lower' THEN 0 WHEN 'upper' THEN 1 WHEN 'vertical' THEN (fin.c > c)::INTEGER END)::INTEGER AS label FROM z""",
         "latest_bars": BARS + " SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 10",
         "upsert": RESENT + """, u AS (SELECT * FROM q UNION ALL SELECT * FROM b ANTI JOIN q USING (symbol, ts))
-            SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume, round(adj_close, 6) AS adj_close FROM u""",
+            SELECT symbol, ts, open, high, low, close, volume, adj_close FROM u""",
         "restatements": RESENT + """ SELECT b.symbol, count(*) AS overlap, bool_or(abs(q.adj_close / q.close - b.adj_close / b.close) / (b.adj_close / b.close) > 1e-4) AS restated
             FROM b JOIN q USING (symbol, ts) GROUP BY 1""",
         "readback": BARS + """, m AS (SELECT symbol, adj_close, close / lag(close) OVER w - 1 AS move, date_diff('day', lag(ts) OVER w, ts) AS gap FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts))
