@@ -47,10 +47,11 @@ def features(b: DataFrame) -> DataFrame:
     )
 
 
-def percentile_rank(value: str, by: str = "ts") -> Column:
-    """Rank in [0, 1] within the cross-section: ties averaged, nulls left out, a single value is 0.5."""
-    group = Window.partitionBy(by, F.col(value).isNull())
-    n, ties = F.count(value).over(group), F.count("*").over(Window.partitionBy(by, value))
+def percentile_rank(value: str, *by: str) -> Column:
+    """Rank in [0, 1] within the cross-section, a session unless ``by`` says more: ties averaged, nulls left out, a single value is 0.5."""
+    keys = by or ("ts",)
+    group = Window.partitionBy(*keys, F.col(value).isNull())
+    n, ties = F.count(value).over(group), F.count("*").over(Window.partitionBy(*keys, value))
     at = F.rank().over(group.orderBy(value)) - 1 + (ties - 1) / 2
     return F.when(F.col(value).isNull(), None).when(n == 1, 0.5).otherwise(at / (n - 1))
 

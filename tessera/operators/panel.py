@@ -58,11 +58,11 @@ def benchmark(bars: DataFrame, least: int = 3) -> DataFrame:
     return step.select("ts", "names", F.exp(F.sum("m").over(Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))).alias("level"))
 
 
-def sector_neutral(rows: DataFrame, value: str, least: int = 4) -> DataFrame:
-    """``value`` less its sector's median in the session; small sectors are pooled, a pool that is small stays as it is."""
-    n = F.count(value).over(Window.partitionBy("ts", "sector"))
+def sector_neutral(rows: DataFrame, value: str, least: int = 4, by: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """``value`` less its sector's median in the session, or in each ``by``; small sectors are pooled, a pool that is small stays as it is."""
+    n = F.count(value).over(Window.partitionBy(*by, "sector"))
     rows = rows.withColumn("__g", F.when(n >= least, F.col("sector")))
-    group = Window.partitionBy("ts", "__g")
+    group = Window.partitionBy(*by, "__g")
     middle = F.when(F.count(value).over(group) >= least, F.percentile(value, F.lit(0.5)).over(group))
     return rows.withColumn(value, F.col(value) - F.coalesce(middle, F.lit(0.0))).drop("__g")
 

@@ -43,20 +43,21 @@ def excess_barrier(rows: DataFrame, horizon: int = 63, sigma_window: int = 20, u
     return rows.select("symbol", "ts", "n", F.when(F.col("barrier").isNotNull(), F.coalesce("hit.n", "end.n")).alias("touch"), "barrier", label.alias("label"))
 
 
-def uniqueness(spans: DataFrame) -> DataFrame:
-    """``symbol, n, weight`` of labels ``symbol, n, touch``: the mean of 1 over the labels open on each session that one spans.
+def uniqueness(spans: DataFrame, *keep: str) -> DataFrame:
+    """``symbol, n, keep, weight`` of labels ``symbol, n, touch``, which ``symbol, n`` name: the mean of 1 over the labels open on each session that one spans.
 
-    Openings and closings are summed by session; running sums give the open labels and the inverse of their number, so a label needs two
-    look-ups and no join of spans with sessions.
+    Each label is an opening and a closing. In the order of these the open labels are a running sum, and so is the inverse of their number
+    over the sessions passed; a label's weight is what that sum gained between its two. Labels are read once and meet once, by symbol.
     """
-    marks = spans.select("symbol", F.col("n").alias("at"), F.lit(1).alias("m")).unionByName(spans.select("symbol", (F.greatest("n", "touch") + 1).alias("at"), F.lit(-1).alias("m")))
+    close = F.greatest("n", "touch") + 1
+    marks = F.explode(F.array(*[F.struct(at.cast("long").alias("at"), F.lit(m).alias("m")) for at, m in ((F.col("n"), 1), (close, -1))]))
+    rows = spans.select("symbol", "n", *keep, marks.alias("x")).select("symbol", "n", *keep, "x.*")
     w = Window.partitionBy("symbol").orderBy("at")
-    steps = marks.groupBy("symbol", "at").agg(F.sum("m").alias("m")).withColumn("open", F.sum("m").over(w)).withColumn("until", F.lead("at").over(w))
-    run = F.coalesce((F.col("until") - F.col("at")) / F.when(F.col("open") > 0, F.col("open")), F.lit(0.0))
-    steps = steps.select("symbol", "at", (F.sum(run).over(w) - run).alias("before"))
-    begin = spans.join(steps.select("symbol", F.col("at").alias("n"), F.col("before").alias("b0")), ["symbol", "n"])
-    both = begin.withColumn("at", F.greatest("n", "touch") + 1).join(steps.select("symbol", "at", F.col("before").alias("b1")), ["symbol", "at"])
-    return both.select("symbol", "n", ((F.col("b1") - F.col("b0")) / (F.col("at") - F.col("n"))).alias("weight"))
+    upto = w.rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("open", F.sum("m").over(w.rangeBetween(Window.unboundedPreceding, -1))).withColumn("passed", F.col("at") - F.lag("at").over(w))
+    rows = rows.withColumn("run", F.sum(F.coalesce(F.col("passed") / F.when(F.col("open") > 0, F.col("open")), F.lit(0.0))).over(upto))
+    side = lambda c, m: F.max(F.when(F.col("m") == m, F.col(c)))
+    return rows.groupBy("symbol", "n").agg(*[F.max(c).alias(c) for c in keep], ((side("run", -1) - side("run", 1)) / (side("at", -1) - side("at", 1))).alias("weight"))
 
 
 def label_profile(labels: DataFrame, *by: str) -> DataFrame:

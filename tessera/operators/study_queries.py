@@ -204,9 +204,7 @@ RANKS = [*RAW, "net_margin", "roa", "leverage", "gross_profitability", "asset_gr
 
 def _dataset(spark, sf_dir):
     rows = market.features(_bars(spark, sf_dir)).withColumn("sector", F.regexp_extract("symbol", "[0-9]+", 0).cast("int") % 6)
-    labels = _excess(spark, sf_dir)
-    weights = study.uniqueness(labels.where("touch is not null").select("symbol", "n", "touch"))
-    return training.build(rows, RAW, filings(spark, sf_dir), labels, weights, _macro(spark, sf_dir).withColumn("regime", strategy.regime()))
+    return training.build(rows, RAW, filings(spark, sf_dir), _excess(spark, sf_dir), _macro(spark, sf_dir).withColumn("regime", strategy.regime()))
 
 
 def dataset(spark, sf_dir):
