@@ -4,13 +4,13 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
-from tessera.operators import gate_queries, ledger_queries, model_queries, panel_queries, research_queries, study_queries
+from tessera.operators import gate_queries, ledger_queries, model_queries, panel_queries, report_queries, research_queries, study_queries
 from tessera.operators import queries as market_queries
 
 TOLERANCE = 2e-6  # results are rounded to 6 digits
 SF = "/root/testdata/sf0.01"
-QUERIES = market_queries.queries() | panel_queries.queries() | study_queries.queries() | ledger_queries.queries() | research_queries.queries() | gate_queries.queries() | model_queries.queries()
-SQL = market_queries.oracle_sql() | panel_queries.oracle_sql() | study_queries.oracle_sql() | ledger_queries.oracle_sql() | research_queries.oracle_sql() | gate_queries.oracle_sql() | model_queries.oracle_sql()
+QUERIES = market_queries.queries() | panel_queries.queries() | study_queries.queries() | ledger_queries.queries() | research_queries.queries() | gate_queries.queries() | model_queries.queries() | report_queries.queries()
+SQL = market_queries.oracle_sql() | panel_queries.oracle_sql() | study_queries.oracle_sql() | ledger_queries.oracle_sql() | research_queries.oracle_sql() | gate_queries.oracle_sql() | model_queries.oracle_sql() | report_queries.oracle_sql()
 
 
 @pytest.fixture(scope="session")
@@ -26,7 +26,7 @@ def test_matches_sql(spark, name):
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(SQL[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got)
-    keys = [c for c in ("symbol", "ts", "user_id", "event_id", "series", "day", "feature", "rule", "n", "fold", "split", "role", "a", "b", "aum", "period_end", "order_id", "source", "cik", "strategy", "model_id", "horizon", "delay", "width", "sector", "event_type", "title", "signal", "candidate", "condition", "observation_date", "block", "path", "at", "decided_at") if c in got.columns]
+    keys = [c for c in ("symbol", "account", "name", "ts", "user_id", "event_id", "series", "day", "feature", "rule", "n", "fold", "split", "role", "a", "b", "aum", "period_end", "order_id", "source", "cik", "strategy", "model_id", "horizon", "delay", "width", "sector", "event_type", "title", "signal", "candidate", "condition", "observation_date", "block", "path", "at", "decided_at") if c in got.columns]
     got, want = (x.sort_values(keys).reset_index(drop=True)[sorted(x.columns)] for x in (got, want))
     assert len(got) == len(want)
     for c in got.columns:
