@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import gates, ledger, market, panel, reports
 from tessera.operators import dataset as training
+from tessera.operators import gates, ledger, market, panel, reports, study, targets
+from tessera.operators import technical as tech
 from tessera.operators.gate_queries import OVERLAID
 from tessera.operators.ledger_queries import KS
 from tessera.operators.panel_queries import _read, filings
 from tessera.operators.queries import BARS, FEATURES, _bars
 from tessera.operators.research_queries import HEALTH, _health
-from tessera.operators.study_queries import RANKS, _dataset, _dataset_sql, _oracle_sql
+from tessera.operators.study_queries import BENCH, RANKS, _dataset, _dataset_sql, _oracle_sql
 
 BASE, HELD, LOOKBACK = 0.1, 12, 120
 #: Bounds of the training table that the query holds it to; some of them are breached.
@@ -95,8 +96,18 @@ def catch_up(spark, sf_dir):
     return rows.select("event_id", "last_sync", reports.needs_catchup(F.col("last_sync"), F.col("ts"), 16).alias("due"))
 
 
+RAW, HORIZONS, WIDTHS = ("return_5d", "return_20d", "realized_vol_20", "volume_ratio"), (5, 21), (0.5, 1.0, 1.5)
+
+
+def target_scores(spark, sf_dir):
+    """Absolute and excess labels of a week and a month, three widths each."""
+    b = _bars(spark, sf_dir)
+    rows = study.on_benchmark(tech.adjusted(b), panel.benchmark(b))
+    return targets.target_scores(rows, market.features(b), list(RAW), list(HORIZONS), list(WIDTHS), 10)
+
+
 def queries():
-    made = [model_drift, equity_paths, book_sections, strategy_attribution, held_correlations, feature_states, contract_violations, valuation_ratios, served_ranks, catch_up]
+    made = [target_scores, model_drift, equity_paths, book_sections, strategy_attribution, held_correlations, feature_states, contract_violations, valuation_ratios, served_ranks, catch_up]
     return {q.__name__: q for q in made}
 
 
@@ -115,11 +126,37 @@ CURVES = BARS + """, cu AS (SELECT symbol AS account, ts, adj_close AS equity FR
   ep AS (SELECT account, ts, equity, equity / lag(equity) OVER w - 1 AS ret, 1 - equity / max(equity) OVER (w ROWS UNBOUNDED PRECEDING) AS drawdown, row_number() OVER (PARTITION BY account ORDER BY ts DESC) AS k FROM cu WINDOW w AS (PARTITION BY account ORDER BY ts))"""
 
 
+def _targets_sql() -> str:
+    keys = "excess, horizon, ts, feature"
+    long = " UNION ALL ".join(f"SELECT excess, horizon, width, touched, lb.ts, label, '{n}' AS feature, {n} AS v FROM lb JOIN fx USING (symbol, ts)" for n in RAW)
+    rank = lambda c: f"rank() OVER (PARTITION BY {keys} ORDER BY {c}) + (count(*) OVER (PARTITION BY {keys}, {c}) - 1) / 2.0::DOUBLE"
+    values = lambda xs: ", ".join(f"({x})" for x in xs)
+    return BENCH + f""", r2 AS (SELECT symbol, ts, c, v AS volume, row_number() OVER w AS n, c / lag(c) OVER w - 1 AS r FROM a WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+      fx AS (SELECT symbol, ts, c / lag(c, 5) OVER w - 1 AS return_5d, c / lag(c, 20) OVER w - 1 AS return_20d, CASE WHEN n >= 21 THEN stddev_samp(r) OVER (w ROWS 19 PRECEDING) * sqrt(252.0) END AS realized_vol_20,
+        CASE WHEN n >= 20 THEN volume / avg(volume) OVER (w ROWS 19 PRECEDING) END AS volume_ratio FROM r2 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+      pt AS (SELECT n.symbol, n.ts, c, x, CASE WHEN count(lr) OVER w20 = 20 THEN stddev_samp(lr) OVER w20 END AS sl, CASE WHEN count(d) OVER w20 = 20 THEN stddev_samp(d) OVER w20 END AS sx,
+        list({{'h': h, 'l': l, 'c': c, 'x': x}}) OVER (PARTITION BY n.symbol ORDER BY n.ts ROWS BETWEEN 1 FOLLOWING AND {max(HORIZONS)} FOLLOWING) AS nx FROM n JOIN xd ON n.symbol = xd.symbol AND n.ts = xd.ts WINDOW w20 AS (PARTITION BY n.symbol ORDER BY n.ts ROWS 19 PRECEDING)),
+      kd AS (SELECT symbol, ts, false AS excess, c AS lvl, c * sl AS unit, list_transform(nx, lambda y: {{'lo': y.l, 'hi': y.h, 'fin': y.c}}) AS nx FROM pt UNION ALL SELECT symbol, ts, true, x, sx, list_transform(nx, lambda y: {{'lo': y.x, 'hi': y.x, 'fin': y.x}}) FROM pt),
+      gd AS (SELECT kd.*, horizon, width, lvl - unit * width * sqrt(horizon) AS flo, lvl + unit * width * sqrt(horizon) AS cei FROM kd, (VALUES {values(HORIZONS)}) hz(horizon), (VALUES {values(f"{m}::DOUBLE" for m in WIDTHS)}) wd(width) WHERE unit > 0),
+      hz AS (SELECT *, list_filter(nx[1:horizon], lambda y: y.lo <= flo OR y.hi >= cei)[1] AS hit, nx[horizon] AS fin FROM gd),
+      bz AS (SELECT *, CASE WHEN hit.lo <= flo THEN 'lower' WHEN hit.hi >= cei THEN 'upper' WHEN fin.fin IS NOT NULL THEN 'vertical' END AS barrier FROM hz),
+      lz AS (SELECT excess, symbol, ts, horizon, width, barrier, CASE barrier WHEN 'vertical' THEN (fin.fin > lvl)::INTEGER WHEN 'upper' THEN 1 ELSE 0 END AS label FROM bz WHERE barrier IS NOT NULL),
+      rc AS (SELECT excess, horizon, width, avg((barrier <> 'vertical')::INTEGER) AS touched FROM lz GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY excess, horizon ORDER BY touched NOT BETWEEN 0.4::DOUBLE AND 0.7::DOUBLE, round(abs(touched - 0.55::DOUBLE), 12), width) = 1),
+      lb AS (SELECT lz.*, touched FROM lz JOIN rc USING (excess, horizon, width)), ln AS ({long}), lm AS (SELECT * FROM ln QUALIFY count(*) OVER (PARTITION BY {keys}) >= 10),
+      lp AS (SELECT * REPLACE (coalesce(CASE WHEN v IS NULL THEN NULL WHEN count(v) OVER (PARTITION BY {keys}) = 1 THEN 0.5 ELSE (rank() OVER (PARTITION BY {keys}, v IS NULL ORDER BY v) - 1 + (count(*) OVER (PARTITION BY {keys}, v) - 1) / 2.0::DOUBLE) / (count(v) OVER (PARTITION BY {keys}) - 1) END, 0.5)::DOUBLE AS v) FROM lm),
+      lr2 AS (SELECT {keys}, width, touched, label, {rank("v")} AS ra, {rank("label")} AS rb FROM lp),
+      li AS (SELECT {keys}, width, touched, CASE WHEN stddev_pop(ra) = 0 OR stddev_pop(rb) = 0 THEN 0 ELSE corr(ra, rb) END AS ic, count(*) AS n, sum(label) AS up FROM lr2 GROUP BY ALL),
+      le AS (SELECT excess, horizon, width, touched, feature, avg(ic) AS ic, sum(n) AS n, sum(up) AS up FROM li GROUP BY ALL),
+      lo AS (SELECT excess, horizon, width, touched, max(n)::BIGINT AS samples, max(up) / max(n)::DOUBLE AS positive_rate, arg_min(feature, (-round(abs(ic), 12), feature)) AS best_feature, arg_min(ic, (-round(abs(ic), 12), feature)) AS best_ic, avg(abs(ic)) AS mean_abs_ic FROM le GROUP BY ALL)
+      SELECT *, row_number() OVER (ORDER BY -round(abs(best_ic), 12), horizon, excess)::INTEGER AS place FROM lo"""
+
+
 def oracle_sql():
     made = _dataset_sql(_oracle_sql())
     states = " UNION ALL ".join(f"SELECT '{n}' AS feature, coalesce(var_pop({n}), 0) AS variance, coalesce(avg(({n} = 0.5)::INTEGER), 1)::DOUBLE AS neutral_share FROM ds" for n in RANKS)
     c = CONTRACT
     return {
+        "target_scores": _targets_sql(),
         "model_drift": DRIFT + """ SELECT *, drifted <> '' OR sharpe_decay < -0.3::DOUBLE OR accuracy < 0.48::DOUBLE AS needs_retrain, prediction_shift > 0.99::DOUBLE AS needs_investigation,
             CASE WHEN drifted <> '' OR sharpe_decay < -0.3::DOUBLE OR accuracy < 0.48::DOUBLE THEN 'auto_retrain' WHEN prediction_shift > 0.99::DOUBLE THEN 'alert_and_monitor' ELSE 'no_action' END AS action FROM rp""",
         "equity_paths": CURVES + " SELECT account, ts, equity, drawdown FROM ep WHERE k <= 500",
