@@ -14,6 +14,7 @@ from tessera.operators.panel_queries import _read, filings
 from tessera.operators.queries import BARS, FEATURES, _bars
 from tessera.operators.research_queries import HEALTH, _health
 from tessera.operators.study_queries import BENCH, RANKS, _dataset, _dataset_sql, _oracle_sql
+from tessera.streaming import alerts as feeds
 
 BASE, HELD, LOOKBACK = 0.1, 12, 120
 #: Bounds of the training table that the query holds it to; some of them are breached.
@@ -96,6 +97,34 @@ def catch_up(spark, sf_dir):
     return rows.select("event_id", "last_sync", reports.needs_catchup(F.col("last_sync"), F.col("ts"), 16).alias("due"))
 
 
+def messages(spark, sf_dir) -> DataFrame:
+    """Events as messages of five topics; one in ten of drift has no action, one in nine of fills is no JSON, some topics are unknown."""
+    e, k = _read(spark, sf_dir, "events"), F.col("event_id")
+    pick = lambda *names: F.element_at(F.array(*[F.lit(n) for n in names]), (k % len(names) + 1).cast("int"))
+    said = {
+        "click": ("breaker", F.struct(pick("YELLOW", "RED", "BLACK").alias("level"), F.lit("drawdown").alias("metric"), (k % 1000 / 1000).alias("value"), F.lit(0.15).alias("threshold"), F.lit("halt").alias("action"))),
+        "purchase": ("fill", F.struct(F.concat(F.lit("S"), F.col("user_id") % 50).alias("symbol"), (k % 9 + 1).alias("quantity"), F.col("value").alias("price"), k.cast("string").alias("order_id"))),
+        "view": ("revalidated", F.struct(F.concat(F.lit("rule "), k % 5).alias("strategy"), (k % 7 / 4).alias("original"), (k % 5 / 4).alias("current"), (k % 90 / 100).alias("degradation"), pick("active", "probation", "deactivate").alias("status"))),
+        "signup": ("status", F.struct(F.concat(F.lit("rule "), k % 5).alias("strategy"), F.lit("active").alias("old_status"), pick("probation", "active", "deactivated").alias("new_status"), F.lit("low_sharpe").alias("reason"), F.when(k % 4 != 0, k % 9 / 4).alias("sharpe"))),
+        "error": ("drift", F.struct(F.concat(F.lit("m"), k % 3).alias("model_id"), F.lit("feature").alias("drift_type"), pick("info", "warning", "critical", "loud").alias("severity"), F.when(k % 10 != 0, "auto_retrain").alias("action"))),
+    }
+    topic, payload = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for kind, (name, body) in said.items():
+        topic, payload = F.when(F.col("event_type") == kind, name).otherwise(topic), F.when(F.col("event_type") == kind, F.to_json(body)).otherwise(payload)
+    broken = (F.col("event_type") == "purchase") & (k % 9 == 0)
+    return e.select(F.when(k % 50 == 7, "gossip").otherwise(topic).alias("topic"), "ts", F.when(broken, "{quantity").otherwise(payload).alias("payload"))
+
+
+def alert_feed(spark, sf_dir):
+    """Warnings and worse of all five topics."""
+    return feeds.feed(messages(spark, sf_dir), "warning")
+
+
+def refused_messages(spark, sf_dir):
+    rows = feeds.refused(messages(spark, sf_dir))
+    return rows.groupBy(F.coalesce("topic", F.lit("")).alias("name")).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
+
+
 RAW, HORIZONS, WIDTHS = ("return_5d", "return_20d", "realized_vol_20", "volume_ratio"), (5, 21), (0.5, 1.0, 1.5)
 
 
@@ -107,7 +136,7 @@ def target_scores(spark, sf_dir):
 
 
 def queries():
-    made = [target_scores, model_drift, equity_paths, book_sections, strategy_attribution, held_correlations, feature_states, contract_violations, valuation_ratios, served_ranks, catch_up]
+    made = [target_scores, alert_feed, refused_messages, model_drift, equity_paths, book_sections, strategy_attribution, held_correlations, feature_states, contract_violations, valuation_ratios, served_ranks, catch_up]
     return {q.__name__: q for q in made}
 
 
@@ -156,6 +185,15 @@ def oracle_sql():
     states = " UNION ALL ".join(f"SELECT '{n}' AS feature, coalesce(var_pop({n}), 0) AS variance, coalesce(avg(({n} = 0.5)::INTEGER), 1)::DOUBLE AS neutral_share FROM ds" for n in RANKS)
     c = CONTRACT
     return {
+        "alert_feed": """WITH e AS (SELECT * FROM events WHERE event_id % 50 <> 7)
+            SELECT ts, CASE event_id % 3 WHEN 0 THEN 'warning' ELSE 'critical' END AS severity, 'Circuit breaker ' || ['YELLOW', 'RED', 'BLACK'][event_id % 3 + 1] AS title, printf('drawdown=%.2f%% (threshold 15.00%%) → halt', event_id % 1000 / 1000::DOUBLE * 100) AS message FROM e WHERE event_type = 'click'
+            UNION ALL SELECT ts, 'warning', 'Strategy revalidated: rule ' || event_id % 5 || ' → ' || ['active', 'probation', 'deactivate'][event_id % 3 + 1], printf('OOS Sharpe %.2f vs %.2f (degradation %.0f%%)', event_id % 5 / 4::DOUBLE, event_id % 7 / 4::DOUBLE, event_id % 90 / 100::DOUBLE * 100) FROM e
+              WHERE event_type = 'view' AND event_id % 3 <> 0
+            UNION ALL SELECT ts, 'warning', 'Strategy status: rule ' || event_id % 5 || ' active → ' || ['probation', 'active', 'deactivated'][event_id % 3 + 1], 'reason: low_sharpe (sharpe_90d ' || CASE WHEN event_id % 4 = 0 THEN 'n/a' ELSE printf('%.2f', event_id % 9 / 4::DOUBLE) END || ')' FROM e
+              WHERE event_type = 'signup' AND event_id % 3 <> 1
+            UNION ALL SELECT ts, CASE event_id % 4 WHEN 2 THEN 'critical' ELSE 'warning' END, 'Model drift: m' || event_id % 3 || ' (feature)', 'Recommended action: auto_retrain' FROM e WHERE event_type = 'error' AND event_id % 10 <> 0""",
+        "refused_messages": """WITH e AS (SELECT CASE WHEN event_id % 50 = 7 THEN 'gossip' WHEN event_type = 'purchase' AND event_id % 9 = 0 THEN 'fill' WHEN event_type = 'error' AND event_id % 10 = 0 THEN 'drift' END AS name, ts FROM events)
+            SELECT name, count(*) AS n, min(ts) AS first_ts FROM e WHERE name IS NOT NULL GROUP BY 1""",
         "target_scores": _targets_sql(),
         "model_drift": DRIFT + """ SELECT *, drifted <> '' OR sharpe_decay < -0.3::DOUBLE OR accuracy < 0.48::DOUBLE AS needs_retrain, prediction_shift > 0.99::DOUBLE AS needs_investigation,
             CASE WHEN drifted <> '' OR sharpe_decay < -0.3::DOUBLE OR accuracy < 0.48::DOUBLE THEN 'auto_retrain' WHEN prediction_shift > 0.99::DOUBLE THEN 'alert_and_monitor' ELSE 'no_action' END AS action FROM rp""",

@@ -26,7 +26,7 @@ def test_matches_sql(spark, name):
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(SQL[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got)
-    keys = [c for c in ("symbol", "account", "name", "ts", "user_id", "event_id", "series", "day", "feature", "rule", "n", "fold", "split", "role", "a", "b", "aum", "period_end", "order_id", "source", "cik", "strategy", "model_id", "horizon", "delay", "width", "sector", "event_type", "title", "signal", "candidate", "condition", "observation_date", "block", "path", "excess", "at", "decided_at") if c in got.columns]
+    keys = [c for c in ("symbol", "account", "name", "ts", "user_id", "event_id", "series", "day", "feature", "rule", "n", "fold", "split", "role", "a", "b", "aum", "period_end", "order_id", "source", "cik", "strategy", "model_id", "horizon", "delay", "width", "sector", "event_type", "title", "signal", "candidate", "condition", "observation_date", "block", "path", "excess", "message", "at", "decided_at") if c in got.columns]
     got, want = (x.sort_values(keys).reset_index(drop=True)[sorted(x.columns)] for x in (got, want))
     assert len(got) == len(want)
     for c in got.columns:

@@ -85,3 +85,39 @@ def test_priors_are_those_filed_before(spark):
 def test_the_training_table_exchanges_a_handful_of_times(spark):
     plan = study_queries.dataset(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 30  # those that build bars and labels included; 111 with one for each feature
+
+
+def test_the_alert_feed_is_one_as_a_stream_over_restarts(spark, tmp_path):
+    from tessera.streaming import alerts
+
+    rows = [
+        ("breaker", 1, '{"level": "BLACK", "metric": "drawdown", "value": 0.2, "threshold": 0.15, "action": "flatten"}'), ("fill", 2, '{"symbol": "A", "quantity": 3, "price": 2.5, "order_id": "7"}'),
+        ("fill", 3, '{"symbol": "A", "quantity": "many"}'), ("status", 4, '{"strategy": "s", "old_status": "active", "new_status": "probation", "reason": "r"}'), ("status", 5, "{"),
+        ("drift", 6, None), ("gossip", 7, "{}"), (None, 8, "{}"),
+        ("revalidated", 9, '{"strategy": "s", "original": 1.0, "current": 0.5, "degradation": 0.5, "status": "probation", "more": 1}'),
+    ]
+    schema = "topic string, ts int, payload string"
+    batch = spark.createDataFrame(rows, schema)
+    want = sorted(map(tuple, alerts.feed(batch).collect()))
+    assert [r[0] for r in want] == [1, 2, 4, 9] and sorted(r["ts"] for r in alerts.refused(batch).collect()) == [3, 5, 6, 7, 8]
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = alerts.feed(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == want
+
+
+def test_targets_by_hand(spark):
+    from tessera.operators import targets
+
+    ups = [("A", t, 100.0 * 1.01 ** (t + (t % 2) / 10), 1.0) for t in range(40)]
+    rows = spark.createDataFrame(ups, "symbol string, ts int, c double, market double").withColumns({"h": F.col("c"), "l": F.col("c")})
+    grid = targets.barrier_grid(targets.barrier_paths(rows, 5, 5), [2, 5], [0.5, 1e6])
+    got = {(r["excess"], r["horizon"], r["width"], r["barrier"], r["label"]) for r in grid.collect()}
+    assert got == {(e, h, m, b, 1) for e in (False, True) for h in (2, 5) for m, b in ((0.5, "upper"), (1e6, "vertical"))}
+    assert {(r["width"], r["touched"]) for r in targets.recommended(grid).collect()} == {(0.5, 1.0)}
+    assert grid.where("horizon = 5 and ts > 34").count() == grid.where("horizon = 5 and ts > 34 and barrier = 'upper'").count()  # history cuts the others short
+    vectors = rows.select("symbol", "ts", F.lit(None).cast("double").alias("f"))
+    assert targets.target_scores(rows, vectors, ["f"], [2], [0.5], 2).count() == 0
+    lone = targets.target_scores(rows, vectors, ["f"], [2], [0.5], 1).collect()
+    assert [(r["excess"], r["best_ic"], r["place"]) for r in lone] == [(False, 0.0, 1), (True, 0.0, 2)]
