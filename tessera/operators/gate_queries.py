@@ -9,6 +9,7 @@ from tessera.operators import gates, market, panel
 from tessera.operators.panel_queries import _read, rounded
 from tessera.operators.queries import FEATURES, _bars
 from tessera.operators.research_queries import RATED, _scored
+from tessera.tables import stored
 
 #: Features whose own rank correlation a model must beat, and those that attributes may overwrite or add.
 BASELINE, OVERLAID = ("realized_vol_20", "volume_ratio"), ("return_5d", "style_growth", "style_value")
@@ -21,8 +22,8 @@ def _kept(name: str, spark, sf_dir, make) -> DataFrame:
     """A table that several queries and parts of them read: built once a session, on disk where memory ends, built anew where an executor is lost."""
     key = (name, spark.sparkContext.applicationId, sf_dir)
     if key not in _KEPT:
-        _KEPT[key] = make(spark, sf_dir).persist()
-    return _KEPT[key]
+        _KEPT[key] = make(spark, sf_dir)
+    return _KEPT[key] if _KEPT[key].storageLevel.useDisk else _KEPT[key].persist()  # a caller may have cleared the cache
 
 
 def _rated(spark, sf_dir) -> DataFrame:
@@ -33,8 +34,12 @@ def _sessions(spark, sf_dir) -> DataFrame:
     return _kept("sessions", spark, sf_dir, lambda *a: gates.session_metrics(_rated(*a), "p", "next_return"))
 
 
+def _years(sessions: DataFrame) -> DataFrame:
+    return gates.relative_metrics(sessions.withColumn("fold", F.year("ts")), "fold")
+
+
 def _folds(spark, sf_dir) -> DataFrame:
-    return gates.relative_metrics(_sessions(spark, sf_dir).withColumn("fold", F.year("ts")), "fold")
+    return _years(_sessions(spark, sf_dir))
 
 
 def session_metrics(spark, sf_dir):
@@ -52,18 +57,24 @@ def pooled_folds(spark, sf_dir):
 
 
 def gate(spark, sf_dir):
-    """The newest year as holdout, the years before as folds. The deflated ratio has no SQL, so its condition is left to a test."""
-    rows, folds = _rated(spark, sf_dir).withColumn("fold", F.year("ts")), _folds(spark, sf_dir)
+    """The newest year as holdout, the years before as folds. The deflated ratio has no SQL, so its condition is left to a test.
+
+    Tables that several branches read are stored, so that each is made once and plans end there.
+    """
+    rated = stored(_scored(spark, sf_dir).select("symbol", "ts", "p", "next_return", *BASELINE), "rated")
+    folds = stored(_years(stored(gates.session_metrics(rated, "p", "next_return"), "sessions")), "folds")
+    rows = rated.withColumn("fold", F.year("ts"))
     newest = folds.agg(F.max("fold").alias("fold"))  # one row
     rows = rows.join(F.broadcast(newest), "fold")
     best = market.top_quantile(rows, "p").select("symbol", "ts", F.lit(True).alias("selected"))
     y = rows.withColumn("y", (F.col("next_return") > 0).cast("double")).join(best, ["symbol", "ts"], "left").withColumn("base", F.avg("y").over(Window.partitionBy("fold")))
+    y = stored(y, "holdout")
     delta = F.pow(F.col("p") - F.col("y"), 2) - F.pow(F.col("base") - F.col("y"), 2)
     fit = y.groupBy("fold").agg(
         F.stddev_pop("p").alias("pred_std"), (F.avg(F.when(F.col("selected"), F.col("y"))) - F.avg("y")).alias("lift"), F.avg(delta).alias("brier_delta"),
         (F.stddev_samp(delta) / F.sqrt(F.count("*"))).alias("brier_se"),
     )
-    own = [panel.rank_ic(rows, c, "next_return").agg(F.avg("ic").alias("ic")) for c in BASELINE]  # one row each
+    own = [panel.rank_ic(y, c, "next_return").agg(F.avg("ic").alias("ic")) for c in BASELINE]  # one row each
     baseline = own[0].unionByName(own[1]).agg(F.max("ic").alias("baseline_ic"))
     holdout = folds.join(F.broadcast(fit), "fold").join(panel.auc(y, "p", "y", "fold").select("fold", "auc"), "fold").join(F.broadcast(baseline))
     model = F.lit("return_5d").alias("model")

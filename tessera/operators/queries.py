@@ -16,8 +16,8 @@ def _bars(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, unit)
     if key not in _KEPT:
         read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-        _KEPT[key] = market.bars(read("lineitem"), read("part"), unit).persist()
-    return _KEPT[key]
+        _KEPT[key] = market.bars(read("lineitem"), read("part"), unit)
+    return _KEPT[key] if _KEPT[key].storageLevel.useDisk else _KEPT[key].persist()  # a caller may have cleared the cache
 
 
 def bars(spark, sf_dir):

@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import SparkSession
 
-from tessera.operators import gates
+from tessera.operators import gate_queries, gates
+from tessera.operators.queries import bars
 
 HOLDOUT = "model string, best_epoch int, pred_std double, sessions long, sections long, ic_mean double, ic_std double, baseline_ic double, sharpe double, sharpe_active double, lift double, brier_delta double, brier_se double, auc double, deflated double"
 GOOD = {"model": "good", "best_epoch": 5, "pred_std": 0.1, "sessions": 60, "sections": 100, "ic_mean": 0.05, "ic_std": 0.1, "baseline_ic": 0.02, "sharpe": 1.0, "sharpe_active": 0.3, "lift": 0.02, "brier_delta": 0.001, "brier_se": 0.001, "auc": 0.55, "deflated": 0.95}
@@ -64,3 +65,14 @@ def test_undated_vintages_meet_again(spark):
     got = gates.vintages(gates.save_vintages(kept, batch)).collect()
     assert sorted((str(r["realtime_start"]), r["value"]) for r in got) == [("2024-02-01", 2.0), ("None", 4.0)]
     assert gates.save_vintages(kept, batch).where("realtime_start = date'9999-12-31'").count() == 1
+
+
+def test_trades_are_read_once_after_the_cache_is_cleared(spark):
+    sf = "/root/testdata/sf0.001"
+    before = sorted(gate_queries.gate(spark, sf).collect())
+    spark.catalog.clearCache()
+    again = gate_queries.gate(spark, sf)
+    assert not [f for f in again.inputFiles() if "lineitem" in f or "part." in f]  # every branch starts at a stored table
+    assert sorted(again.collect()) == before and len(before) == 5
+    spark.catalog.clearCache()
+    assert bars(spark, sf).storageLevel.useDisk and gate_queries._sessions(spark, sf).storageLevel.useDisk
