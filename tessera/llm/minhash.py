@@ -170,12 +170,12 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
 
 def intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, common`` for ``a, b``: the exact size of the intersection of the full sets.
+    """``a, b, common`` for the stored table ``a, b``: the exact size of the intersection of the full sets.
 
     The pairs of one ``a`` go to as many parts as their share of all pairs asks for (PARTS of all pairs), so a document
     that a third of all others is compared with fills no task. Its set is sent once to each part, and the sets of its partners follow.
     """
-    pairs = stored(pairs.select("a", "b"), "pairs")
+    pairs = pairs.select("a", "b")
     counts = stored(pairs.groupBy("a").agg(F.count("*").alias("n")), "partners")
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(counts.where(F.col("n") * PARTS > total).select("a", F.ceil(F.col("n") * PARTS / F.lit(max(1, total))).cast("int").alias("parts")))  # PARTS rows at most
@@ -269,6 +269,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = each.groupBy("e", "key").agg(F.count("*").alias("k")).where("k > 1").select("e", "key")
     each = each.join(shared, ["e", "key"], "left_semi")
     own = each.groupBy("doc").agg(F.collect_list(F.struct("e", "key")).alias("es"))  # at most 2 * ENTRIES
+    own = stored(own, "entries")
     first = F.filter("es", lambda s: s["e"] < ENTRIES)
     second = F.filter("es", lambda s: s["e"] >= ENTRIES)
     tables = own.select("doc", F.explode(first).alias("x"), second.alias("ys")).select("doc", "x", F.explode("ys").alias("y"))
@@ -292,6 +293,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return out.where(100 * F.least("na", "nb") >= PER_CENT * F.greatest("na", "nb"))
 
     def measured(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = stored(pairs, f"{name}-pairs")  # read three times
         common = intersections(pairs.select("a", "b"), sets).join(pairs.select("a", "b", "na", "nb"), ["a", "b"])
         union = F.col("na") + F.col("nb") - F.col("common")
         return stored(common.select("a", "b", (1 - F.col("common") / union).alias("far"), (100 * F.col("common") >= PER_CENT * union).alias("link")), name)
@@ -303,6 +305,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     votes = tables.where("doc <> head").groupBy("doc", "head").agg(F.count("*").alias("k"))
     votes = stored(votes.select(F.col("head").alias("a"), F.col("doc").alias("b"), "k"), "votes")
     best = votes.groupBy("b").agg(F.max(F.struct("k", (-F.col("a")).alias("m"))).alias("s")).select((-F.col("s.m")).alias("a"), "b")
+    best = stored(best, "best")
     edges = measured(sized(best), "links1")
     label = labelled(edges)
 
@@ -324,7 +327,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = again.select("doc", "c", F.explode("keys").alias("key"))
     several = keys.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     met = keys.join(several, "key", "left_semi").groupBy("doc").agg(F.collect_list("key").alias("met"))  # at most BANDS
-    keyed = met.join(again.drop("keys"), "doc").select("*", F.explode("met").alias("key"))
+    keyed = stored(met.join(again.drop("keys"), "doc"), "met").select("*", F.explode("met").alias("key"))  # both sides of the join read it
     x = keyed.select("key", F.col("doc").alias("a"), F.col("c").alias("ca"), F.col("pivot").alias("pa"), F.col("far").alias("fa"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("met").alias("ka"))
     y = keyed.select("key", F.col("doc").alias("b"), F.col("c").alias("cb"), F.col("pivot").alias("pb"), F.col("far").alias("fb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("met").alias("kb"))
     bound = 1 - PER_CENT / 100 + 1e-9
@@ -332,7 +335,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     may = may & (100 * F.least("na", "nb") >= PER_CENT * F.greatest("na", "nb"))
     may = may & (_shared() >= LEAST_SKETCHED) & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key"))  # a pair comes from one of its keys
     across = x.join(y, "key").where(may).select("a", "b", "na", "nb").join(edges, ["a", "b"], "left_anti")
-    edges = edges.unionByName(measured(stored(across, "across"), "links3"))
+    edges = edges.unionByName(measured(across, "links3"))
     label = labelled(edges)
 
     of_class = classes.join(label, classes["rep"] == label["doc"], "left").select("same", "n", F.coalesce("c", "rep").alias("c"))
