@@ -40,7 +40,7 @@ LEAST_SEEN = 6
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 1 << 22
 #: Bytes of text whose words are counted at once.
-COUNTED_BYTES = 1 << 24
+COUNTED_BYTES = 1 << 22
 #: Bytes of the corpus' text for each bucket of the words that are in no table.
 BUCKET_BYTES = 1 << 26
 _GAP = np.uint32(0xFFFFFFFF)
